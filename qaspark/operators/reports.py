@@ -97,8 +97,19 @@ def agg_means(scored: DataFrame, by: list[str], spec=MEAN_SPEC) -> DataFrame:
 def agg_with_ci(scored: DataFrame, by: list[str], n_boot: int = 2000, alpha: float = 0.05,
                 seed: int = 42, id_col: str | None = None, order_by: list[str] | None = None,
                 exact_max: int | None = None) -> DataFrame:
-    """A1 + A2: means joined to the bootstrap intervals of EM, F1, ROUGE_L."""
+    """A1 + A2: means joined to the bootstrap intervals of EM, F1, ROUGE_L.
+
+    The narrow columns the two aggregates need (keys, metrics, ids - no
+    text) are checkpointed once so the scoring stage runs once.
+    """
     from .bootstrap import bootstrap_ci
+    from .partitioning import materialize
+    need = list(dict.fromkeys(list(by) + ["question"] + [s for _, s in MEAN_SPEC]
+                              + ([id_col] if id_col else []) + list(order_by or [])))
+    # the question text only feeds count(question): keep a flag instead
+    scored = materialize(scored.select(*[F.col(c).isNotNull().alias(c) if c == "question" else F.col(c)
+                                         for c in need if c in scored.columns]))
+    scored = scored.withColumn("question", F.when(F.col("question"), F.lit("q")))
     means = agg_means(scored, by)
     kw = {} if exact_max is None else {"exact_max": exact_max}
     cis = bootstrap_ci(scored, by, CI_METRICS, n_boot=n_boot, alpha=alpha, seed=seed,

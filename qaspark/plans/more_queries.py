@@ -1,3 +1,38 @@
 """Catalog entries for the operators beyond the analysis reports."""
 
 from __future__ import annotations
+
+from ..operators import reports as rp
+from ..operators.bootstrap import bootstrap_ci_hash, bootstrap_ci_hash_sql
+from .catalog import _r, register, scored
+from .oracle import scored_ctes, with_run_log
+
+# ---------------------------------------------------------------- A2 bootstrap
+
+
+@register("report_by_llm_with_ci")
+def q_report_by_llm_with_ci(spark, sf):
+    """A1 + A2 (exact resampling per group; numpy generator, no SQL twin)."""
+    return rp.round_doubles(rp.agg_with_ci(scored(spark, sf), ["llm"], id_col="pair_id", order_by=["pair_id"]))
+
+
+@register("report_by_answer_lang_with_ci")
+def q_report_by_answer_lang_with_ci(spark, sf):
+    return rp.round_doubles(rp.agg_with_ci(scored(spark, sf), ["language"], id_col="pair_id", order_by=["pair_id"]))
+
+
+def _boot_hash_sql(by):
+    inner = bootstrap_ci_hash_sql("scored", by, rp.CI_METRICS, "pair_id")
+    cols = by + [f"{_r(c)} AS {c}" for m in rp.CI_METRICS for c in (f"{m}_ci_lo", f"{m}_ci_hi")]
+    return with_run_log(scored_ctes(), f"ci AS ({inner})") + " SELECT " + ", ".join(cols) + " FROM ci"
+
+
+@register("bootstrap_ci_hash_by_llm", _boot_hash_sql(["llm"]))
+def q_boot_hash_llm(spark, sf):
+    return rp.round_doubles(bootstrap_ci_hash(scored(spark, sf), ["llm"], rp.CI_METRICS, "pair_id"))
+
+
+@register("bootstrap_ci_hash_by_language_embedding", _boot_hash_sql(["language", "embedding"]))
+def q_boot_hash_lang_emb(spark, sf):
+    return rp.round_doubles(bootstrap_ci_hash(scored(spark, sf), ["language", "embedding"], rp.CI_METRICS,
+                                              "pair_id"))
