@@ -36,3 +36,101 @@ def q_boot_hash_llm(spark, sf):
 def q_boot_hash_lang_emb(spark, sf):
     return rp.round_doubles(bootstrap_ci_hash(scored(spark, sf), ["language", "embedding"], rp.CI_METRICS,
                                               "pair_id"))
+
+# ---------------------------------------------------------------- J3 / W4 / G4 retrieval
+from ..operators import retrieval as rt  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+def _emb_topk(spark, sf, k=3):
+    e = table(spark, sf, "embeddings")
+    return rt.topk_similar(e, e, k, "vec_id", "vec_id", "embedding", "embedding", exclude_self=True)
+
+
+_TOPK_CTE = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings WHERE embedding IS NOT NULL),
+n AS (SELECT vec_id, v, label, CASE WHEN sqrt(list_dot_product(v, v)) = 0 THEN 1.0
+                                    ELSE sqrt(list_dot_product(v, v)) END AS nrm FROM e),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_dot_product(a.v, b.v) / (a.nrm * b.nrm) AS sim
+      FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+topk AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank
+                        FROM p) WHERE rank <= 3)"""
+
+
+@register("topk_retrieval", f"WITH {_TOPK_CTE} SELECT query_id, rank, doc_id, {_r('sim')} AS sim FROM topk")
+def q_topk_retrieval(spark, sf):
+    return rp.round_doubles(_emb_topk(spark, sf))
+
+
+@register("retrieval_label_precision", f"""WITH {_TOPK_CTE},
+per_q AS (SELECT t.query_id, q.label AS q_label, avg(CAST(q.label = d.label AS DOUBLE)) AS precision
+          FROM topk t JOIN e q ON q.vec_id = t.query_id JOIN e d ON d.vec_id = t.doc_id GROUP BY 1, 2)
+SELECT q_label AS label, count(*) AS n_queries, {_r('avg(precision)')} AS precision_at_k FROM per_q GROUP BY 1""")
+def q_label_precision(spark, sf):
+    return rp.round_doubles(rt.label_precision(_emb_topk(spark, sf), table(spark, sf, "embeddings"),
+                                               "vec_id", "label"))
+
+
+@register("semantic_support", f"""WITH {_TOPK_CTE},
+s AS (SELECT query_id, least(1.0, greatest(0.0, (max(sim) + 1.0) / 2.0)) AS s FROM topk GROUP BY 1)
+SELECT query_id, {_r('10.0 * s', 2)} AS factual_consistency_0_10, {_r('1.0 - s', 3)} AS hallucination_rate_0_1,
+       'semantic' AS groundedness_mode FROM s""")
+def q_semantic_support(spark, sf):
+    return rt.semantic_support(_emb_topk(spark, sf))
+
+# ---------------------------------------------------------------- G1/G2/G7/G8 groundedness
+from pyspark.sql import functions as F  # noqa: E402
+
+from ..functions import grounding as gr  # noqa: E402
+from ..plans.run_log import run_log  # noqa: E402
+from .oracle import lexical_cols, sentence_cov  # noqa: E402
+
+
+def run_log_with_context(spark, sf):
+    """Run log plus its context: the document of the conversation (doc_id = conv_id)."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
+    return run_log(spark, sf).join(docs, "conv_id", "left")
+
+
+_CTX_SQL = "rc AS (SELECT r.*, d.text AS context FROM run_log r LEFT JOIN documents d ON d.doc_id = r.conv_id)"
+
+
+@register("lexical_support", with_run_log(_CTX_SQL) + f"""
+SELECT pair_id, gp.f AS factual_consistency_0_10, gp.h AS hallucination_rate_0_1,
+       {_r('gp.f / 10.0', 3)} AS groundedness_pred_0_1, {_r('gg.f / 10.0', 3)} AS retrieval_support_gold_0_1,
+       gp.m AS groundedness_mode_pred, gg.m AS retrieval_support_mode_gold
+FROM (SELECT pair_id, {lexical_cols('predicted_answer', 'context', 'language', 'gp')},
+             {lexical_cols('gold_answer', 'context', 'language', 'gg')} FROM rc)""")
+def q_lexical_support(spark, sf):
+    d = run_log_with_context(spark, sf)
+    d = gr.add_lexical_support(d, "predicted_answer", "context", "language", "gp")
+    d = gr.add_lexical_support(d, "gold_answer", "context", "language", "gg")
+    return d.select("pair_id", F.col("gp.factual_consistency_0_10"), F.col("gp.hallucination_rate_0_1"),
+                    gr.support_ratio("gp.factual_consistency_0_10").alias("groundedness_pred_0_1"),
+                    gr.support_ratio("gg.factual_consistency_0_10").alias("retrieval_support_gold_0_1"),
+                    F.col("gp.mode").alias("groundedness_mode_pred"),
+                    F.col("gg.mode").alias("retrieval_support_mode_gold"))
+
+
+@register("sentence_coverage", with_run_log(_CTX_SQL) + f"""
+SELECT pair_id, sc.f AS factual_consistency_0_10, sc.h AS hallucination_rate_0_1
+FROM (SELECT pair_id, {sentence_cov('predicted_answer', 'context')} AS sc FROM rc)""")
+def q_sentence_coverage(spark, sf):
+    d = run_log_with_context(spark, sf).select("pair_id", gr.sentence_coverage("predicted_answer", "context").alias("sc"))
+    return d.select("pair_id", "sc.factual_consistency_0_10", "sc.hallucination_rate_0_1")
+
+
+@register("grounded_by_quality", with_run_log(_CTX_SQL) + f"""
+SELECT l.quality, l.toxic, count(*) AS n,
+       {_r('avg(TRY_CAST(gp.f / 10.0 AS DECIMAL(28, 9)))')} AS groundedness_mean,
+       {_r('avg(TRY_CAST(gp.h AS DECIMAL(28, 9)))')} AS halluc_rate_mean
+FROM (SELECT conv_id, {lexical_cols('predicted_answer', 'context', 'language', 'gp')} FROM rc) g
+JOIN labels l ON l.doc_id = g.conv_id GROUP BY l.quality, l.toxic""")
+def q_grounded_by_quality(spark, sf):
+    d = gr.add_lexical_support(run_log_with_context(spark, sf), "predicted_answer", "context", "language", "gp")
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("conv_id"), "quality", "toxic")
+    j = d.join(lab, "conv_id")
+    return rp.round_doubles(j.groupBy("quality", "toxic").agg(
+        F.count("*").alias("n"),
+        rp.exact_mean(F.col("gp.factual_consistency_0_10") / 10.0).alias("groundedness_mean"),
+        rp.exact_mean("gp.hallucination_rate_0_1").alias("halluc_rate_mean")))

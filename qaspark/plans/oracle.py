@@ -157,3 +157,57 @@ ref_scores AS (
 
 def with_run_log(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",".join([RUN_LOG_SQL.strip()] + [c.strip() for c in ctes if c.strip()])
+
+
+# ---------------------------------------------------------------- groundedness twins
+def lex_norm(x: str) -> str:
+    return (rf"trim(regexp_replace(regexp_replace(lower(strip_accents(coalesce({x}, ''))), "
+            rf"'[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))")
+
+
+def stops(lang: str) -> str:
+    from ..functions.grounding import DEFAULT_STOP_LANG, STOP_WORDS
+
+    def lst(ws):
+        return "[" + ", ".join("'" + w + "'" for w in ws) + "]"
+    whens = " ".join(f"WHEN '{k}' THEN {lst(v)}" for k, v in STOP_WORDS.items() if k != DEFAULT_STOP_LANG)
+    return f"(CASE coalesce({lang}, '{DEFAULT_STOP_LANG}') {whens} ELSE {lst(STOP_WORDS[DEFAULT_STOP_LANG])} END)"
+
+
+def content_toks(norm_expr: str, stops_expr: str) -> str:
+    return f"list_filter(string_split({norm_expr}, ' '), lambda _w: length(_w) >= 3 AND NOT list_contains({stops_expr}, _w))"
+
+
+def bigr(arr: str) -> str:
+    return f"list_transform(range(1, len({arr})), lambda _i: {arr}[_i] || ' ' || {arr}[_i + 1])"
+
+
+def lexical_cols(ans: str, ctx: str, lang: str, prefix: str) -> str:
+    """SELECT-list fragment: <prefix>factual / <prefix>halluc / <prefix>mode over token lists."""
+    return f"""(SELECT {{'f': CASE WHEN len(a) = 0 OR len(c) = 0 THEN 0.0 ELSE {_rnd('10.0 * s', 2)} END,
+                      'h': CASE WHEN len(a) = 0 OR len(c) = 0 THEN 1.0 ELSE {_rnd('1.0 - s', 3)} END,
+                      'm': CASE WHEN len(a) = 0 OR len(c) = 0 THEN '' ELSE 'lexical' END}}
+   FROM (SELECT a, c, least(1.0, greatest(0.0, 0.75 * (len(list_filter(a, lambda _t: list_contains(cm, _t)))
+                                                      / greatest(1, len(a)))
+                                      + 0.25 * (CASE WHEN len(ab) > 0 THEN len(list_intersect(ab, cb)) / len(ab)
+                                                     ELSE 0.0 END))) AS s
+         FROM (SELECT a, c, list_intersect(list_distinct(a), list_distinct(c)) AS cm,
+                      list_distinct({bigr('a')}) AS ab, list_distinct({bigr('c')}) AS cb
+               FROM (SELECT {content_toks(lex_norm(ans), stops(lang))} AS a,
+                            {content_toks(lex_norm(ctx), stops(lang))} AS c)))) AS {prefix}"""
+
+
+def _rnd(x: str, digits: int) -> str:
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {digits}) AS DOUBLE)"
+
+
+def sentence_cov(ans: str, ctx: str) -> str:
+    words = r"list_transform(regexp_extract_all(_s, '[\p{L}\p{N}_\x{C0}-\x{FF}]{5,}'), lambda _w: lower(_w))"
+    hit = (f"(len({words}) > 0 AND len(list_filter({words}, lambda _w: contains(_ctx, _w))) "
+           f">= greatest(1, len({words}) // 4))")
+    return f"""(SELECT {{'f': {_rnd('greatest(0.0, 10.0 * (1.0 - h))', 2)}, 'h': {_rnd('h', 3)}}} FROM (
+      SELECT CASE WHEN len(sents) > 0 THEN 1.0 - len(list_filter(list_transform(sents, lambda _s: {hit}), lambda _x: _x))
+                  / len(sents) ELSE 1.0 END AS h
+      FROM (SELECT lower(coalesce({ctx}, '')) AS _ctx,
+                   list_filter(list_transform(regexp_split_to_array(coalesce({ans}, ''), '[.!?]\\s+'),
+                               lambda _p: regexp_replace(_p, '^\\s+|\\s+$', '', 'g')), lambda _p: _p <> '') AS sents)))"""
