@@ -134,3 +134,175 @@ def q_grounded_by_quality(spark, sf):
         F.count("*").alias("n"),
         rp.exact_mean(F.col("gp.factual_consistency_0_10") / 10.0).alias("groundedness_mean"),
         rp.exact_mean("gp.hallucination_rate_0_1").alias("halluc_rate_mean")))
+
+# ---------------------------------------------------------------- R1/R2/R4/R7-R10 responses
+from ..functions import responses as rs  # noqa: E402
+from ..plans.run_log import qa_pairs  # noqa: E402
+from .oracle import d_grade, d_oneline, d_strip_reasoning  # noqa: E402
+
+_NL = F.lit("\n")
+
+
+def _raw_responses(spark, sf):
+    """Model outputs with reasoning wrapped around the assistant turn, three shapes."""
+    p = qa_pairs(spark, sf).withColumn("pair_id", F.col("conv_id") * 100 + F.col("turn"))
+    v = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
+    raw = (F.when(v == 0, F.concat(F.lit("<think>"), F.col("question"), F.lit("</think>"), _NL, F.col("answer")))
+           .when(v == 1, F.concat(F.lit("```reasoning"), _NL, F.col("question"), _NL, F.lit("```"), _NL,
+                                  F.col("answer")))
+           .otherwise(F.concat(F.lit("Reasoning: "), F.regexp_replace("question", "\n", " "), _NL, F.col("answer"))))
+    return p.select("pair_id", raw.alias("raw"))
+
+
+_RAW_RESP_SQL = """
+raw_resp AS (
+  SELECT u.conv_id * 100 + u.turn AS pair_id,
+         CASE (u.conv_id + u.turn) % 3
+           WHEN 0 THEN '<think>' || u.text || '</think>' || chr(10) || a.text
+           WHEN 1 THEN '```reasoning' || chr(10) || u.text || chr(10) || '```' || chr(10) || a.text
+           ELSE 'Reasoning: ' || replace(u.text, chr(10), ' ') || chr(10) || a.text END AS raw
+  FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1
+  WHERE u.role = 'user' AND a.role = 'assistant'
+)"""
+
+
+@register("strip_reasoning", f"WITH {_RAW_RESP_SQL} SELECT pair_id, {d_oneline(d_strip_reasoning('raw'))} AS answer "
+                             "FROM raw_resp")
+def q_strip_reasoning(spark, sf):
+    return _raw_responses(spark, sf).select("pair_id", rs.oneline(rs.strip_reasoning("raw")).alias("answer"))
+
+
+def _raw_grades(spark, sf):
+    e = table(spark, sf, "events")
+    v = F.pmod("event_id", F.lit(6))
+    sc = F.round(F.col("value") / 5.0, 2).cast("string")
+    raw = (F.when(v == 0, F.concat(F.lit('{"score": '), sc, F.lit(', "feedback": "'), F.col("event_type"),
+                                   F.lit(' ok"}')))
+           .when(v == 1, F.concat(F.lit('Primero {"score": 1} luego {"score": '), sc, F.lit(', "feedback": "'),
+                                  F.col("event_type"), F.lit('"}')))
+           .when(v == 2, F.concat(F.lit("Nota: "), F.col("value").cast("string"), F.lit(" de 10")))
+           .when(v == 3, F.lit("sin nota"))
+           .when(v == 4, F.concat(F.lit("{“score”: "), sc, F.lit(", “feedback”: “"), F.col("event_type"),
+                                  F.lit("”}")))
+           .otherwise(F.concat(F.lit('{"score": "'), sc, F.lit('"}'))))
+    return e.select("event_id", raw.alias("raw"))
+
+
+_RAW_GRADE_SQL = """
+raw_grade AS (
+  SELECT event_id, CASE event_id % 6
+    WHEN 0 THEN '{"score": ' || CAST(round(value / 5.0, 2) AS VARCHAR) || ', "feedback": "' || event_type || ' ok"}'
+    WHEN 1 THEN 'Primero {"score": 1} luego {"score": ' || CAST(round(value / 5.0, 2) AS VARCHAR)
+                || ', "feedback": "' || event_type || '"}'
+    WHEN 2 THEN 'Nota: ' || CAST(value AS VARCHAR) || ' de 10'
+    WHEN 3 THEN 'sin nota'
+    WHEN 4 THEN '{“score”: ' || CAST(round(value / 5.0, 2) AS VARCHAR) || ', “feedback”: “' || event_type || '”}'
+    ELSE '{"score": "' || CAST(round(value / 5.0, 2) AS VARCHAR) || '"}' END AS raw
+  FROM events
+)"""
+
+
+@register("grade_parse_v2", f"WITH {_RAW_GRADE_SQL} SELECT event_id, g.score, g.feedback, g.score_in_range "
+                            f"FROM (SELECT event_id, {d_grade('raw', 2)} AS g FROM raw_grade)")
+def q_grade_v2(spark, sf):
+    return _raw_grades(spark, sf).select("event_id", rs.grade_parse("raw", 2).alias("g")).select(
+        "event_id", "g.score", "g.feedback", "g.score_in_range")
+
+
+@register("grade_parse_v1", f"WITH {_RAW_GRADE_SQL} SELECT event_id, g.score, g.feedback, g.score_in_range "
+                            f"FROM (SELECT event_id, {d_grade('raw', 1)} AS g FROM raw_grade)")
+def q_grade_v1(spark, sf):
+    return _raw_grades(spark, sf).select("event_id", rs.grade_parse("raw", 1).alias("g")).select(
+        "event_id", "g.score", "g.feedback", "g.score_in_range")
+
+
+def _raw_generate(spark, sf):
+    e = table(spark, sf, "events")
+    dur = F.when(F.pmod("event_id", F.lit(4)) == 0, F.lit(0)).otherwise(F.round(F.col("value") * 1e8).cast("long"))
+    body = F.concat(F.lit('{"response": "<think>plan</think> '), F.col("event_type"), F.lit(' answer",'),
+                    F.lit(' "prompt_eval_count": '), F.col("user_id").cast("string"),
+                    F.when(F.pmod("event_id", F.lit(7)) == 0, F.lit(""))
+                     .otherwise(F.concat(F.lit(', "eval_count": '), F.floor("value").cast("string"))),
+                    F.lit(', "eval_duration": '), dur.cast("string"), F.lit("}"))
+    return e.select("event_id", body.alias("body"), F.col("value").alias("wall_clock_s"))
+
+
+@register("response_metrics", r"""
+WITH g AS (
+  SELECT event_id, value AS wall, '{"response": "<think>plan</think> ' || event_type || ' answer",'
+         || ' "prompt_eval_count": ' || CAST(user_id AS VARCHAR)
+         || CASE WHEN event_id % 7 = 0 THEN '' ELSE ', "eval_count": ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END
+         || ', "eval_duration": ' || CAST(CASE WHEN event_id % 4 = 0 THEN 0 ELSE CAST(round(value * 1e8) AS BIGINT) END AS VARCHAR)
+         || '}' AS body
+  FROM events
+), p AS (
+  SELECT event_id, wall, json_extract_string(body, '$.response') AS resp,
+         CAST(json_extract_string(body, '$.prompt_eval_count') AS BIGINT) AS pt,
+         CAST(json_extract_string(body, '$.eval_count') AS BIGINT) AS ct,
+         coalesce(CAST(json_extract_string(body, '$.eval_duration') AS DOUBLE), 0.0) AS ns
+  FROM g
+)
+SELECT event_id, """ + d_oneline(d_strip_reasoning(r"regexp_replace(coalesce(resp, ''), '^\s+|\s+$', '', 'g')")) + r""" AS text,
+       pt AS prompt_tokens, ct AS completion_tokens, coalesce(pt, 0) + coalesce(ct, 0) AS total_tokens,
+       """ + _r("CASE WHEN ns <> 0 THEN ns / 1e9 ELSE wall END") + r""" AS gen_seconds,
+       """ + _r("CASE WHEN (CASE WHEN ns <> 0 THEN ns / 1e9 ELSE wall END) > 0 THEN coalesce(ct, 0) / "
+                "(CASE WHEN ns <> 0 THEN ns / 1e9 ELSE wall END) END") + r""" AS tokens_per_sec
+FROM p""")
+def q_response_metrics(spark, sf):
+    d = _raw_generate(spark, sf).select("event_id", rs.response_metrics("body", "wall_clock_s").alias("m"))
+    return rp.round_doubles(d.select("event_id", "m.text", "m.prompt_tokens", "m.completion_tokens",
+                                     "m.total_tokens", "m.gen_seconds", "m.tokens_per_sec"))
+
+
+def _ndjson_chat(spark, sf):
+    c = table(spark, sf, "conversations").where(F.col("role") == "assistant")
+    lines = F.transform(F.split(F.col("text"), " "),
+                        lambda w: F.concat(F.lit('{"message": {"content": "'), w, F.lit(' "}}')))
+    body = F.array_join(F.when(F.pmod("turn", F.lit(2)) == 1, F.array_insert(lines, 2, F.lit("{bad json")))
+                        .otherwise(lines), "\n")
+    return c.select("conv_id", "turn", body.alias("body"))
+
+
+@register("ndjson_join", r"""
+WITH c AS (
+  SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: '{"message": {"content": "' || w || ' "}}') AS l
+  FROM conversations WHERE role = 'assistant'
+), b AS (
+  SELECT conv_id, turn, array_to_string(CASE WHEN turn % 2 = 1
+           THEN list_concat(l[1:1], ['{bad json'], l[2:]) ELSE l END, chr(10)) AS body FROM c
+), p AS (
+  SELECT conv_id, turn, array_to_string(list_filter(list_transform(
+           string_split(regexp_replace(coalesce(body, ''), '^\s+|\s+$', '', 'g'), chr(10)),
+           lambda ln: CASE WHEN json_valid(ln) THEN json_extract_string(ln, '$.message.content') END),
+           lambda t: t IS NOT NULL), '') AS j FROM b
+)
+SELECT conv_id, turn, CASE WHEN j = '' THEN '""" + rs.NO_CONTENT_TEXT + r"""'
+                           ELSE regexp_replace(j, '^\s+|\s+$', '', 'g') END AS text FROM p""")
+def q_ndjson_join(spark, sf):
+    return _ndjson_chat(spark, sf).select("conv_id", "turn", rs.ndjson_join("body").alias("text"))
+
+
+def _pull_logs(spark, sf):
+    e = table(spark, sf, "events")
+    status = F.when(F.col("event_type") == "purchase", F.lit(rs.SUCCESS_STATUS)).otherwise(F.col("event_type"))
+    body = F.concat(F.lit('{"status": "pulling manifest"}'), _NL,
+                    F.when(F.pmod("event_id", F.lit(5)) == 0, F.lit("not json")).otherwise(
+                        F.concat(F.lit('{"status": "'), status, F.lit('"}'))))
+    return e.select("event_id", body.alias("body"))
+
+
+@register("ndjson_status", r"""
+WITH b AS (
+  SELECT event_id, '{"status": "pulling manifest"}' || chr(10) ||
+         CASE WHEN event_id % 5 = 0 THEN 'not json'
+              ELSE '{"status": "' || CASE WHEN event_type = 'purchase' THEN 'success' ELSE event_type END || '"}' END AS body
+  FROM events
+), l AS (SELECT event_id, string_split(regexp_replace(body, '^\s+|\s+$', '', 'g'), chr(10)) AS lines FROM b)
+SELECT event_id,
+       CASE WHEN json_valid(lines[-1]) THEN coalesce(json_extract_string(lines[-1], '$.status'), '') END AS last_status,
+       len(list_filter(lines, lambda ln: CASE WHEN json_valid(ln) THEN json_extract_string(ln, '$.status') = 'success'
+                                              ELSE false END)) > 0 AS has_success
+FROM l""")
+def q_ndjson_status(spark, sf):
+    return _pull_logs(spark, sf).select("event_id", rs.ndjson_last_status("body").alias("last_status"),
+                                        rs.ndjson_has_success("body").alias("has_success"))

@@ -211,3 +211,50 @@ def sentence_cov(ans: str, ctx: str) -> str:
       FROM (SELECT lower(coalesce({ctx}, '')) AS _ctx,
                    list_filter(list_transform(regexp_split_to_array(coalesce({ans}, ''), '[.!?]\\s+'),
                                lambda _p: regexp_replace(_p, '^\\s+|\\s+$', '', 'g')), lambda _p: _p <> '') AS sents)))"""
+
+
+# ---------------------------------------------------------------- response parsing twins
+def d_strip_ws(x: str) -> str:
+    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def d_oneline(x: str) -> str:
+    return d_strip_ws(rf"regexp_replace(coalesce({x}, ''), '\s+', ' ', 'g')")
+
+
+def d_strip_reasoning(x: str) -> str:
+    t = rf"regexp_replace({x}, '(?is)<think>.*?</think>\s*', '', 'g')"
+    t = rf"regexp_replace({t}, '(?is)```(?:reasoning|thought|inner_monologue).*?```', '', 'g')"
+    t = rf"regexp_replace({t}, '(?im)^\s*(razonamiento|reasoning)\s*:\s*.*$', '', 'g')"
+    return f"(CASE WHEN {x} IS NULL OR {x} = '' THEN {x} ELSE {d_strip_ws(t)} END)"
+
+
+def _d_score(doc: str) -> str:
+    # nested CASE: DuckDB evaluates both sides of AND
+    return (f"(CASE WHEN json_valid({doc}) THEN CASE WHEN json_type({doc}) = 'OBJECT' "
+            f"THEN TRY_CAST(json_extract_string({doc}, '$.score') AS DOUBLE) END END)")
+
+
+def _d_feedback(doc: str) -> str:
+    return (f"(CASE WHEN json_valid({doc}) THEN CASE WHEN json_type({doc}) = 'OBJECT' "
+            f"THEN coalesce(json_extract_string({doc}, '$.feedback'), 'None') END END)")
+
+
+def d_grade(raw: str, version: int = 2) -> str:
+    """SELECT-able struct {score, feedback, score_in_range} for a raw grader text."""
+    r = d_strip_ws(f"coalesce({raw}, '')")
+    if version >= 2:
+        r = f"replace(replace(replace({r}, '“', '\"'), '”', '\"'), '’', '''')"
+    num = rf"TRY_CAST(nullif(regexp_extract(_r, '(\d+(?:\.\d+)?)', 1), '') AS DOUBLE)"
+    if version >= 2:
+        blk = (rf"list_filter(list_transform(list_reverse(regexp_extract_all(_r, '(?s)\{{.*?\}}')), "
+               f"lambda _b: {{'s': {_d_score('_b')}, 'f': {_d_feedback('_b')}}}), lambda _z: _z.s IS NOT NULL)[1]")
+        score = f"coalesce({_d_score('_r')}, _blk.s, {num})"
+        fb = d_oneline(f"coalesce(CASE WHEN {_d_score('_r')} IS NOT NULL THEN {_d_feedback('_r')} END, _blk.f, _r)")
+        inner = f"SELECT _r, {blk} AS _blk FROM (SELECT {r} AS _r)"
+    else:
+        score = f"coalesce({_d_score('_r')}, {num})"
+        fb = f"coalesce(CASE WHEN {_d_score('_r')} IS NOT NULL THEN {_d_feedback('_r')} END, _r)"
+        inner = f"SELECT {r} AS _r"
+    return (f"(SELECT {{'score': _sc, 'feedback': _fb, 'score_in_range': _sc BETWEEN 0 AND 10}} "
+            f"FROM (SELECT {score} AS _sc, {fb} AS _fb FROM ({inner})))")
