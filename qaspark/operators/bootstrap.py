@@ -124,8 +124,8 @@ def bootstrap_ci(df: DataFrame, by: list[str], metrics: list[str], n_boot: int =
         row = {k: pdf[k].iloc[0] for k in by}
         salt = int(pdf["_salt"].iloc[0])
         row["_salt"] = salt
-        if salt < 0:
-            pdf = pdf.sort_values(ocols, kind="mergesort")
+        # a fixed row order makes every float sum independent of partitioning
+        pdf = pdf.sort_values(ocols if salt < 0 else ["_rid"], kind="mergesort")
         rids = pdf["_rid"].to_numpy().astype(np.int64).view(np.uint64)
         for m in metrics:
             x = pdf[m].to_numpy(dtype=np.float64, na_value=np.nan)
@@ -144,9 +144,13 @@ def bootstrap_ci(df: DataFrame, by: list[str], metrics: list[str], n_boot: int =
     parts = buckets.where(F.col("_salt") >= 0)
     rep = parts.select(*by, F.posexplode(F.arrays_zip(
         *[F.col(f"_{m}_{s}") for m in metrics for s in ("swx", "sw")])).alias("_b", "_z"))
+    # bucket sums are combined as exact decimals: associative, so retries and
+    # partitioning cannot change the last bits
     sums = rep.groupBy(*by, "_b").agg(
-        *[F.sum(F.col("_z")[f"_{m}_{s}"]).alias(f"_{m}_{s}") for m in metrics for s in ("swx", "sw")])
-    rep_means = sums.select(*by, *[F.try_divide(F.col(f"_{m}_swx"), F.col(f"_{m}_sw")).alias(m) for m in metrics])
+        *[F.sum(F.col("_z")[f"_{m}_{s}"].cast("decimal(38,12)")).alias(f"_{m}_{s}")
+          for m in metrics for s in ("swx", "sw")])
+    rep_means = sums.select(*by, *[F.try_divide(F.col(f"_{m}_swx").cast("double"), F.col(f"_{m}_sw").cast("double"))
+                                   .alias(m) for m in metrics])
     poisson = rep_means.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_nrep"),
         *[F.percentile(m, alpha / 2).alias(f"{m}_ci_lo") for m in metrics],

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 
 def spread_for_python(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a Python-heavy stage at least ``defaultParallelism`` tasks.
+    """Give a Python-heavy stage at least ``2 x defaultParallelism`` tasks.
 
     Only plans (no job) to read the current partition count.  Large inputs
     already have many partitions and pass through untouched; a small input
@@ -14,7 +14,8 @@ def spread_for_python(df: DataFrame, min_partitions: int | None = None) -> DataF
     makes deterministic with a local sort so a retried task sees the same
     rows.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    # twice the cores: per-row cost varies (a whole document vs a sentence)
+    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
