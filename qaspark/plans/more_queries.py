@@ -306,3 +306,54 @@ FROM l""")
 def q_ndjson_status(spark, sf):
     return _pull_logs(spark, sf).select("event_id", rs.ndjson_last_status("body").alias("last_status"),
                                         rs.ndjson_has_success("body").alias("has_success"))
+
+# ---------------------------------------------------------------- J1/J2/P13-P16 grid, W1/W3/P10/P11 positions
+from ..operators import grid as gd  # noqa: E402
+from ..operators import positions as ps  # noqa: E402
+
+
+def _grid(spark, sf):
+    rl = run_log(spark, sf)
+    langs = table(spark, sf, "documents").select("lang")
+    return gd.resolve_names(gd.config_grid(rl.select("embedding"), rl.select("llm"), langs))
+
+
+_GRID_SQL = with_run_log(r"""grid AS (
+  SELECT e.embedding, m.llm, g.language, 3 AS top_k,
+         replace('data/corpus_{lang}', '{lang}', g.language) AS data_dir,
+         concat_ws('_', 'rag', regexp_replace(e.embedding, '[^A-Za-z0-9]+', '_', 'g'), g.language) AS collection,
+         'results_' || regexp_replace(m.llm, '[^A-Za-z0-9]+', '_', 'g') || '_'
+           || regexp_replace(e.embedding, '[^A-Za-z0-9]+', '_', 'g') || '_' || g.language || '_k3.csv' AS output_csv
+  FROM (SELECT DISTINCT embedding FROM run_log) e, (SELECT DISTINCT llm FROM run_log) m,
+       (SELECT DISTINCT lang AS language FROM documents) g
+)""")
+
+
+@register("config_grid", _GRID_SQL + " SELECT * FROM grid")
+def q_config_grid(spark, sf):
+    return _grid(spark, sf)
+
+
+@register("grid_x_gold", _GRID_SQL + """ SELECT r.language, g.embedding, g.llm, g.top_k, r.pair_id, r.q_index10
+  FROM run_log r JOIN grid g ON g.language = r.language""")
+def q_grid_x_gold(spark, sf):
+    gold = run_log(spark, sf).select("language", "pair_id", "q_index10")
+    return gd.grid_x_gold(gold, _grid(spark, sf)).select("language", "embedding", "llm", "top_k", "pair_id",
+                                                         "q_index10")
+
+
+@register("question_index", with_run_log() + """ SELECT pair_id, row_pos,
+  CAST(((row_pos - 1) // 3) % 10 + 1 AS INTEGER) AS q_index_block,
+  CAST(CASE WHEN row_pos % 10 = 0 THEN 10 ELSE row_pos % 10 END AS INTEGER) AS q_index_cyclic
+  FROM (SELECT pair_id, row_number() OVER (ORDER BY pair_id) AS row_pos FROM run_log)""")
+def q_question_index(spark, sf):
+    d = ps.with_row_position(run_log(spark, sf).select("pair_id"), ["pair_id"])
+    return d.select("pair_id", "row_pos", ps.question_index_block("row_pos").alias("q_index_block"),
+                    ps.question_index_cyclic("row_pos").alias("q_index_cyclic"))
+
+
+@register("question_index_per_language", """SELECT doc_id, lang,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS idx FROM documents""")
+def q_question_index_per_language(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang")
+    return ps.with_row_position(d, ["doc_id"], name="idx", partition_by=["lang"])
