@@ -357,3 +357,144 @@ def q_question_index(spark, sf):
 def q_question_index_per_language(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "lang")
     return ps.with_row_position(d, ["doc_id"], name="idx", partition_by=["lang"])
+
+# ---------------------------------------------------------------- S3-S5/P1-P5/A7/A8/U1 ingest + audit
+from ..operators import audit as au  # noqa: E402
+from ..sources.files import json_records, json_union  # noqa: E402
+
+
+def _join(sep, *cols):
+    """concat_ws with a column separator (PySpark's takes a literal only)."""
+    out = []
+    for i, c in enumerate(cols):
+        out += ([sep] if i else []) + [c]
+    return F.concat(*out)
+
+
+def document_files(spark, sf):
+    """``documents`` written as messy result files, one per (language, source).
+
+    Delimiter by source number % 4 (, ; TAB |); header variants by % 3
+    (display names / extra score column without n_chars / plain); text is
+    quoted except for sources with number % 5 == 4, whose rows with an
+    embedded delimiter become bad rows.  Returns the line table.
+    """
+    d = table(spark, sf, "documents")
+    src = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    delim = F.element_at(F.array(*[F.lit(x) for x in au.DELIMITERS]), (F.pmod(src, F.lit(4)) + 1).cast("int"))
+    text = F.regexp_replace("text", r"[\r\n]+", " ")
+    text = F.when(F.pmod(src, F.lit(5)) == 4, text).otherwise(
+        F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"')))
+    kind = F.pmod(src, F.lit(3))
+    rec = F.when(kind == 1, _join(delim, F.col("doc_id").cast("string"), F.col("lang"), text,
+                                  F.pmod("n_chars", F.lit(10)).cast("string"))) \
+        .otherwise(_join(delim, F.col("doc_id").cast("string"), F.col("lang"), F.col("n_chars").cast("string"), text))
+    head = F.when(kind == 0, _join(delim, F.lit("Doc ID"), F.lit("Lang"), F.lit("N chars"), F.lit("Text"))) \
+        .when(kind == 1, _join(delim, F.lit("doc_id"), F.lit("lang"), F.lit("text"), F.lit("score"))) \
+        .otherwise(_join(delim, F.lit("doc_id"), F.lit("lang"), F.lit("n_chars"), F.lit("text")))
+    file = F.concat(F.lit("bench_out_"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".csv"))
+    rows = d.select(file.alias("file"), F.lit(0).cast("long").alias("blk"), F.col("doc_id").alias("ord"),
+                    rec.alias("line"))
+    heads = d.groupBy("lang", "source").agg(F.first(head).alias("line")).select(
+        F.concat(F.lit("bench_out_"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".csv")).alias("file"),
+        F.lit(0).cast("long").alias("blk"), F.lit(-1).cast("long").alias("ord"), "line")
+    return heads.unionByName(rows)
+
+
+_DOC_FILES_SQL = r"""
+docs AS (
+  SELECT d.*, CAST(regexp_extract(source, '(\d+)$', 1) AS INTEGER) AS src,
+         ([',', ';', chr(9), '|'])[CAST(regexp_extract(source, '(\d+)$', 1) AS INTEGER) % 4 + 1] AS dl,
+         'bench_out_' || lang || '/' || source || '.csv' AS file
+  FROM documents d
+), lines AS (
+  SELECT DISTINCT file, -1 AS ord,
+         CASE src % 3 WHEN 0 THEN concat_ws(dl, 'Doc ID', 'Lang', 'N chars', 'Text')
+                      WHEN 1 THEN concat_ws(dl, 'doc_id', 'lang', 'text', 'score')
+                      ELSE concat_ws(dl, 'doc_id', 'lang', 'n_chars', 'text') END AS line
+  FROM docs
+  UNION ALL
+  SELECT file, doc_id AS ord,
+         CASE WHEN src % 3 = 1 THEN concat_ws(dl, CAST(doc_id AS VARCHAR), lang, t, CAST(n_chars % 10 AS VARCHAR))
+              ELSE concat_ws(dl, CAST(doc_id AS VARCHAR), lang, CAST(n_chars AS VARCHAR), t) END AS line
+  FROM (SELECT docs.*, CASE WHEN src % 5 = 4 THEN regexp_replace(text, '[\r\n]+', ' ', 'g')
+                            ELSE '"' || replace(regexp_replace(text, '[\r\n]+', ' ', 'g'), '"', '""') || '"' END AS t
+        FROM docs)
+)"""
+
+
+def _d_fields(line: str, dl: str) -> str:
+    return (f"CASE WHEN {line} = '' THEN 0 ELSE len(string_split("
+            f"regexp_replace({line}, '\"[^\"]*(?:\"\"[^\"]*)*\"', 'Q', 'g'), {dl})) END")
+
+
+def _d_norm(x: str) -> str:
+    return (r"regexp_replace(regexp_replace(translate(regexp_replace(lower(trim(" + x + r")), '\s+', ' ', 'g'), "
+            r"'ºª', 'oa'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')")
+
+
+@register("file_audit", "WITH " + _DOC_FILES_SQL + r""",
+hdr AS (
+  SELECT file, line AS header,
+         (SELECT CASE WHEN c.n > 0 THEN c.d ELSE ',' END FROM (
+            SELECT max_by(d, n * 10 - p) AS d, max(n) AS n FROM (
+              SELECT unnest([',', ';', chr(9), '|']) AS d, unnest([0, 1, 2, 3]) AS p) x,
+              LATERAL (SELECT length(regexp_replace(line, '"[^"]*(?:""[^"]*)*"', '', 'g'))
+                              - length(replace(regexp_replace(line, '"[^"]*(?:""[^"]*)*"', '', 'g'), x.d, '')) AS n)) c) AS dl
+  FROM lines WHERE ord = -1
+), hn AS (
+  SELECT file, dl, """ + _d_fields("header", "dl") + r""" AS n_header,
+         list_transform(string_split(header, dl), lambda h: """ + _d_norm("h") + r""") AS names FROM hdr
+), rec AS (
+  SELECT l.file, l.ord, l.line, hn.n_header, hn.dl, """ + _d_fields("l.line", "hn.dl") + r""" AS n_fields
+  FROM lines l JOIN hn USING (file) WHERE l.ord <> -1
+), ex AS (
+  SELECT file, string_agg(substr(regexp_replace(line, '\t|;|\|', ',', 'g'), 1, 200), ' || ' ORDER BY ord) AS bad_examples
+  FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord) AS rn FROM rec WHERE n_fields <> n_header)
+  WHERE rn <= 3 GROUP BY file
+), cnt AS (
+  SELECT file, count(*) AS n_rows_data, count(*) FILTER (WHERE n_fields <> n_header) AS n_bad_rows_parse
+  FROM rec GROUP BY file
+), expct AS (SELECT names AS exp FROM hn ORDER BY file LIMIT 1)
+SELECT hn.file, hn.dl AS delimiter, coalesce(cnt.n_rows_data, 0) AS n_rows_data,
+       coalesce(cnt.n_bad_rows_parse, 0) AS n_bad_rows_parse,
+       len(list_distinct(expct.exp)) AS cols_expected_count, len(list_distinct(hn.names)) AS cols_found_count,
+       array_to_string(list_sort(list_distinct(list_filter(expct.exp, lambda e: NOT list_contains(hn.names, e)))), '|')
+         AS cols_missing,
+       coalesce(ex.bad_examples, '') AS bad_examples
+FROM hn CROSS JOIN expct LEFT JOIN cnt USING (file) LEFT JOIN ex USING (file)""")
+def q_file_audit(spark, sf):
+    return au.file_audit(document_files(spark, sf))
+
+
+@register("union_normalised")
+def q_union_normalised(spark, sf):
+    """P1-P5 + U1 over the document files (values parsed by Spark's CSV parser; rows-only check)."""
+    return au.union_normalised(document_files(spark, sf)).drop("blk", "ord")
+
+
+def _event_jsonl(spark, sf):
+    e = table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k")
+    line = (F.when(F.pmod("event_id", F.lit(10)) == 0, F.lit(""))
+            .when(F.pmod("event_id", F.lit(10)) == 1, F.lit("{bad"))
+            .when(F.pmod("event_id", F.lit(10)) == 2, F.col("user_id").cast("string"))
+            .otherwise(F.concat(F.lit('{"k": '), k, F.lit(', "Event Type": "'), F.col("event_type"), F.lit('"}'))))
+    return e.select(F.concat(F.lit("events_"), F.col("event_type"), F.lit(".jsonl")).alias("file"),
+                    F.lit(0).cast("long").alias("blk"), F.col("event_id").alias("ord"), line.alias("line"))
+
+
+@register("json_lines", r"""
+WITH l AS (
+  SELECT 'events_' || event_type || '.jsonl' AS file, event_id AS ord,
+         CASE event_id % 10 WHEN 0 THEN '' WHEN 1 THEN '{bad' WHEN 2 THEN CAST(user_id AS VARCHAR)
+              ELSE '{"k": ' || json_extract_string(props, '$.k') || ', "Event Type": "' || event_type || '"}' END AS line
+  FROM events
+)
+SELECT CASE WHEN json_type(line) = 'OBJECT' THEN json_extract_string(line, '$.k') END AS k,
+       CASE WHEN json_type(line) = 'OBJECT' THEN json_extract_string(line, '$."Event Type"') END AS event_type,
+       CASE WHEN json_type(line) <> 'OBJECT' THEN json_extract_string(line, '$') END AS value,
+       file AS source_file
+FROM l WHERE trim(line) <> '' AND json_valid(line)""")
+def q_json_lines(spark, sf):
+    return json_union(json_records(_event_jsonl(spark, sf)))
