@@ -498,3 +498,12 @@ SELECT CASE WHEN json_type(line) = 'OBJECT' THEN json_extract_string(line, '$.k'
 FROM l WHERE trim(line) <> '' AND json_valid(line)""")
 def q_json_lines(spark, sf):
     return json_union(json_records(_event_jsonl(spark, sf)))
+
+# ---------------------------------------------------------------- 3.3 benchmark pipeline
+from .benchmark import benchmark_run_log  # noqa: E402
+
+
+@register("rag_pipeline")
+def q_rag_pipeline(spark, sf):
+    """Grid x gold -> retrieval -> prompt -> generate -> grade -> groundedness (stand-in models)."""
+    return benchmark_run_log(spark, sf)
