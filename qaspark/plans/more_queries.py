@@ -507,3 +507,37 @@ from .benchmark import benchmark_run_log  # noqa: E402
 def q_rag_pipeline(spark, sf):
     """Grid x gold -> retrieval -> prompt -> generate -> grade -> groundedness (stand-in models)."""
     return benchmark_run_log(spark, sf)
+
+# ---------------------------------------------------------------- U5 token Jaccard, contamination join
+from ..functions import text as tx  # noqa: E402
+from ..operators.contamination import contamination  # noqa: E402
+from .oracle import norm as d_norm, toks as d_toks  # noqa: E402
+
+
+@register("token_jaccard", with_run_log() + f""" SELECT pair_id,
+  {_r('CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(list_distinct(list_concat(a, b))), 1)')} AS jaccard
+  FROM (SELECT pair_id, list_distinct({d_toks(d_norm('predicted_answer'))}) AS a,
+               list_distinct({d_toks(d_norm('gold_answer'))}) AS b FROM run_log)""")
+def q_token_jaccard(spark, sf):
+    d = run_log(spark, sf)
+    return rp.round_doubles(d.select("pair_id", tx.jaccard_tokens_norm(tx.normalize_text("predicted_answer"),
+                                                                        tx.normalize_text("gold_answer")).alias("jaccard")))
+
+
+def _d_shingles(t: str) -> str:
+    return (f"(CASE WHEN len({t}) >= 8 THEN list_transform(range(1, len({t}) - 6), lambda i: "
+            f"array_to_string({t}[i:i + 7], ' ')) WHEN len({t}) > 0 THEN [array_to_string({t}, ' ')] "
+            f"ELSE [] END)")
+
+
+@register("contamination_join", f"""
+WITH ds AS (SELECT DISTINCT doc_id, unnest({_d_shingles('t')}) AS shingle
+            FROM (SELECT doc_id, {d_toks(d_norm('text'))} AS t FROM documents)),
+bs AS (SELECT item_id, shingle, count(*) OVER (PARTITION BY item_id) AS n_item_shingles
+       FROM (SELECT DISTINCT item_id, unnest({_d_shingles('t')}) AS shingle
+             FROM (SELECT item_id, {d_toks(d_norm('text'))} AS t FROM benchmark)))
+SELECT item_id, doc_id, count(*) AS shared, n_item_shingles, {_r('count(*) / n_item_shingles')} AS containment
+FROM ds JOIN bs USING (shingle) GROUP BY item_id, doc_id, n_item_shingles
+HAVING count(*) / n_item_shingles >= 0.5""")
+def q_contamination(spark, sf):
+    return rp.round_doubles(contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
