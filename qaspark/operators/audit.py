@@ -65,9 +65,9 @@ def norm_col_expr(name) -> Column:
 
 
 def _split_fields(line: Column, delim: Column, n: int) -> Column:
-    """Fields via Spark's CSV parser (quotes, doubled quotes, backslash escapes)."""
+    """Fields via Spark's CSV parser (quoted fields, doubled quotes inside them)."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(n, 1))])
-    opts = {"quote": '"', "escape": "\\", "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE"}
+    opts = {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE"}
     out = None
     for d in DELIMITERS:
         parsed = F.from_csv(line, schema.simpleString(), {**opts, "sep": d})
@@ -156,7 +156,9 @@ def union_normalised(lines: DataFrame, canonical: list[str] | None = None, prove
             if n not in seen:
                 seen.append(n)
     base = list(canonical) if canonical is not None else (list(meta[0]["names"]) if meta else [])
-    extras = [c for c in seen if c not in base]
+    # a data column named like the provenance column is overwritten by it
+    base = [c for c in base if c != provenance]
+    extras = [c for c in seen if c not in base and c != provenance]
     max_n = max((len(r["names"]) for r in meta), default=1)
     rec = records(lines, hdr).where(F.col("line") != "")
     if skip_long_rows:

@@ -28,6 +28,7 @@ def aggregate_with_audit(spark: SparkSession, input_dir: str, output_dir: str |
     jl = scan_lines(spark, input_dir, "*.{jsonl,ndjson}", exclude=exclude)
     if jl.limit(1).count():
         table = table.unionByName(json_union(json_records(jl)), allowMissingColumns=True)
+        table = table.select(*[c for c in table.columns if c != "source_file"], "source_file")
     if output_dir:
         write_table(table, f"{output_dir}/aggregate", fmt)
         write_table(audit, f"{output_dir}/audit", fmt)

@@ -24,18 +24,29 @@ def _relative(path_col, root: str):
     return F.regexp_replace(path_col, r"^(file:)?/*" + root.replace(".", r"\.") + "/", "")
 
 
+def _children_except(spark: SparkSession, root: str, exclude: str) -> list[str]:
+    """Paths directly under ``root`` except the one holding ``exclude`` (a listing, no data read)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = exclude.strip("/").split("/")[0]
+    return [st.getPath().toString() for st in fs.listStatus(path) if st.getPath().getName() != top]
+
+
 def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclude: str | None = None) -> DataFrame:
     """Every line of every matching file under ``root`` (recursive).
 
-    Returns (file relative to root, blk, ord, line).  ``exclude`` drops a
-    path (the job's own output when it lies under the input, Q11).
+    Returns (file relative to root, blk, ord, line).  ``exclude`` (a path
+    relative to root, e.g. the job's own output, Q11) is left out of the
+    listing itself, so its files are never opened.
     """
-    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
+    paths = _children_except(spark, root, exclude) if exclude else [root]
+    if not paths:
+        return spark.createDataFrame([], "file string, blk long, ord long, line string")
+    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths)
           .select(_relative(F.col("_metadata.file_path"), root).alias("file"),
                   F.col("_metadata.file_block_start").alias("blk"),
                   F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")))
-    if exclude:
-        df = df.where(~F.col("file").startswith(exclude))
     return df
 
 
