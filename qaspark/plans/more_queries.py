@@ -140,17 +140,18 @@ from ..functions import responses as rs  # noqa: E402
 from ..plans.run_log import qa_pairs  # noqa: E402
 from .oracle import d_grade, d_oneline, d_strip_reasoning  # noqa: E402
 
-_NL = F.lit("\n")
+def _nl():
+    return F.lit("\n")
 
 
 def _raw_responses(spark, sf):
     """Model outputs with reasoning wrapped around the assistant turn, three shapes."""
     p = qa_pairs(spark, sf).withColumn("pair_id", F.col("conv_id") * 100 + F.col("turn"))
     v = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(3))
-    raw = (F.when(v == 0, F.concat(F.lit("<think>"), F.col("question"), F.lit("</think>"), _NL, F.col("answer")))
-           .when(v == 1, F.concat(F.lit("```reasoning"), _NL, F.col("question"), _NL, F.lit("```"), _NL,
+    raw = (F.when(v == 0, F.concat(F.lit("<think>"), F.col("question"), F.lit("</think>"), _nl(), F.col("answer")))
+           .when(v == 1, F.concat(F.lit("```reasoning"), _nl(), F.col("question"), _nl(), F.lit("```"), _nl(),
                                   F.col("answer")))
-           .otherwise(F.concat(F.lit("Reasoning: "), F.regexp_replace("question", "\n", " "), _NL, F.col("answer"))))
+           .otherwise(F.concat(F.lit("Reasoning: "), F.regexp_replace("question", "\n", " "), _nl(), F.col("answer"))))
     return p.select("pair_id", raw.alias("raw"))
 
 
@@ -285,7 +286,7 @@ def q_ndjson_join(spark, sf):
 def _pull_logs(spark, sf):
     e = table(spark, sf, "events")
     status = F.when(F.col("event_type") == "purchase", F.lit(rs.SUCCESS_STATUS)).otherwise(F.col("event_type"))
-    body = F.concat(F.lit('{"status": "pulling manifest"}'), _NL,
+    body = F.concat(F.lit('{"status": "pulling manifest"}'), _nl(),
                     F.when(F.pmod("event_id", F.lit(5)) == 0, F.lit("not json")).otherwise(
                         F.concat(F.lit('{"status": "'), status, F.lit('"}'))))
     return e.select("event_id", body.alias("body"))
