@@ -5,18 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def estimated_partitions(df: DataFrame) -> int:
+    """Partition count of ``df`` read from its physical plan, without a job.
+
+    A shuffle-partitioned plan reports its partitioning; a plan rooted in
+    file scans has as many partitions as its largest scan (file splits are
+    computed from the listing, no data is read).  0 when unknown.
+    """
+    try:
+        plan = df._jdf.queryExecution().sparkPlan()
+        n = plan.outputPartitioning().numPartitions()
+        if n > 0:
+            return n
+        leaves = plan.collectLeaves()
+        best = 0
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            try:
+                best = max(best, leaf.inputRDD().getNumPartitions())
+            except Exception:   # not a file scan
+                continue
+        return best
+    except Exception:
+        return 0
+
+
 def spread_for_python(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give a Python-heavy stage at least ``2 x defaultParallelism`` tasks.
 
-    Only plans (no job) to read the current partition count.  Large inputs
-    already have many partitions and pass through untouched; a small input
-    (one parquet file, one partition) is spread round-robin, which Spark
-    makes deterministic with a local sort so a retried task sees the same
-    rows.
+    The current partition count is read from the plan (no job).  Large
+    inputs already have many partitions and pass through untouched; a small
+    input (one parquet file, one partition) is spread round-robin, which
+    Spark makes deterministic with a local sort so a retried task sees the
+    same rows.
     """
     # twice the cores: per-row cost varies (a whole document vs a sentence)
     target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if estimated_partitions(df) < target:
         return df.repartition(target)
     return df
 

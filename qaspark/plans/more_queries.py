@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..operators import reports as rp
 from ..operators.bootstrap import bootstrap_ci_hash, bootstrap_ci_hash_sql
+from ..operators.partitioning import spread_for_python
 from .catalog import _r, register, scored
 from .oracle import scored_ctes, with_run_log
 
@@ -173,8 +174,13 @@ def q_strip_reasoning(spark, sf):
     return _raw_responses(spark, sf).select("pair_id", rs.oneline(rs.strip_reasoning("raw")).alias("answer"))
 
 
+def _events(spark, sf):
+    # one small parquet file is one task; spread it (a no-op for large inputs)
+    return spread_for_python(table(spark, sf, "events"))
+
+
 def _raw_grades(spark, sf):
-    e = table(spark, sf, "events")
+    e = _events(spark, sf)
     v = F.pmod("event_id", F.lit(6))
     sc = F.round(F.col("value") / 5.0, 2).cast("string")
     raw = (F.when(v == 0, F.concat(F.lit('{"score": '), sc, F.lit(', "feedback": "'), F.col("event_type"),
@@ -218,7 +224,7 @@ def q_grade_v1(spark, sf):
 
 
 def _raw_generate(spark, sf):
-    e = table(spark, sf, "events")
+    e = _events(spark, sf)
     dur = F.when(F.pmod("event_id", F.lit(4)) == 0, F.lit(0)).otherwise(F.round(F.col("value") * 1e8).cast("long"))
     body = F.concat(F.lit('{"response": "<think>plan</think> '), F.col("event_type"), F.lit(' answer",'),
                     F.lit(' "prompt_eval_count": '), F.col("user_id").cast("string"),
@@ -284,7 +290,7 @@ def q_ndjson_join(spark, sf):
 
 
 def _pull_logs(spark, sf):
-    e = table(spark, sf, "events")
+    e = _events(spark, sf)
     status = F.when(F.col("event_type") == "purchase", F.lit(rs.SUCCESS_STATUS)).otherwise(F.col("event_type"))
     body = F.concat(F.lit('{"status": "pulling manifest"}'), _nl(),
                     F.when(F.pmod("event_id", F.lit(5)) == 0, F.lit("not json")).otherwise(
@@ -475,7 +481,7 @@ def q_union_normalised(spark, sf):
 
 
 def _event_jsonl(spark, sf):
-    e = table(spark, sf, "events")
+    e = _events(spark, sf)
     k = F.get_json_object("props", "$.k")
     line = (F.when(F.pmod("event_id", F.lit(10)) == 0, F.lit(""))
             .when(F.pmod("event_id", F.lit(10)) == 1, F.lit("{bad"))
@@ -541,4 +547,5 @@ SELECT item_id, doc_id, count(*) AS shared, n_item_shingles, {_r('count(*) / n_i
 FROM ds JOIN bs USING (shingle) GROUP BY item_id, doc_id, n_item_shingles
 HAVING count(*) / n_item_shingles >= 0.5""")
 def q_contamination(spark, sf):
-    return rp.round_doubles(contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))
+    return rp.round_doubles(contamination(spread_for_python(table(spark, sf, "documents")),
+                                          table(spark, sf, "benchmark")))
