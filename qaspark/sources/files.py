@@ -107,3 +107,36 @@ def read_gold(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str
             else F.lit(None).cast("int").alias("q_index10"), "question", "gold_answer",
             (F.col("language") if "language" in df.columns else F.lit(None).cast("string")).alias("language")]
     return df.select(*cols)
+
+
+def scan_roots(spark: SparkSession, roots: list[str], glob: str = "*.csv") -> DataFrame:
+    """Lines of the matching files under several roots; a missing root is skipped with a warning."""
+    import warnings
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    parts = []
+    for r in roots:
+        p = jvm.org.apache.hadoop.fs.Path(r)
+        if not p.getFileSystem(conf).exists(p):
+            warnings.warn(f"root does not exist: {r}")
+            continue
+        parts.append(scan_lines(spark, r, glob).withColumn("root", F.lit(r)))
+    if not parts:
+        raise FileNotFoundError("no readable root")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def load_canonical(spark: SparkSession, schema_json: str | None = None, schema_csv: str | None = None) -> list[str] | None:
+    """Canonical column list from a JSON list file or a CSV header (names normalised)."""
+    from ..functions.columns import norm_col
+    if schema_json:
+        import json
+        txt = "\n".join(r[0] for r in spark.read.text(schema_json).collect())   # one small file
+        data = json.loads(txt)
+        return [norm_col(x) for x in data] if isinstance(data, list) else None
+    if schema_csv:
+        return [norm_col(c) for c in spark.read.option("header", "true").csv(schema_csv).columns]
+    return None
