@@ -28,38 +28,37 @@ METRIC_COLUMNS = ["EM", "F1", "ROUGE_L", "LEV_SIM", "ACC_rouge70", "ACC_lev80"]
 def add_text_scores(df: DataFrame, pred: str = "predicted_answer", gold: str = "gold_answer",
                     lev_jaccard_cutoff: int | None = None) -> DataFrame:
     """EM, F1, ROUGE_L, LEV_SIM (each the best over references) and the soft accuracies."""
-    d = df.withColumn("_pred_n", tx.normalize_text(pred)) \
-          .withColumn("_refs_n", F.transform(tx.parse_refs(gold), tx.normalize_text))
-    d = d.withColumn("EM", tx.best_of_refs("_pred_n", "_refs_n", tx.exact_match_norm)) \
-         .withColumn("_s", tx.pair_scores("_pred_n", "_refs_n"))
-    d = d.withColumn("F1", F.col("_s.F1")).withColumn("ROUGE_L", F.col("_s.ROUGE_L"))
+    keep = [F.col(c) for c in df.columns]
+    d = df.select(*keep, tx.normalize_text(pred).alias("_pred_n"),
+                  F.transform(tx.parse_refs(gold), tx.normalize_text).alias("_refs_n"))
+    d = d.select(*keep, "_pred_n", "_refs_n",
+                 tx.best_of_refs("_pred_n", "_refs_n", tx.exact_match_norm).alias("EM"),
+                 tx.pair_scores("_pred_n", "_refs_n").alias("_s"))
     if lev_jaccard_cutoff is None:
-        d = d.withColumn("LEV_SIM", F.col("_s.LEV_SIM"))
+        lev = F.col("_s.LEV_SIM")
     else:
         # T8 (opt-in): token Jaccard instead of Levenshtein for large products
         def scorer(a, b):
             big = (F.length(a) * F.length(b)) > lev_jaccard_cutoff
             both = (F.length(a) > 0) & (F.length(b) > 0)
             return F.when(both & big, tx.jaccard_tokens_norm(a, b)).otherwise(tx.lev_similarity_norm(a, b))
-        d = d.withColumn("LEV_SIM", tx.best_of_refs("_pred_n", "_refs_n", scorer))
-    d = d.withColumn("ACC_rouge70", (F.col("ROUGE_L") >= tx.ROUGE_ACC_THRESHOLD).cast("int")) \
-         .withColumn("ACC_lev80", (F.col("LEV_SIM") >= tx.LEV_ACC_THRESHOLD).cast("int"))
-    return d.drop("_pred_n", "_refs_n", "_s")
+        lev = tx.best_of_refs("_pred_n", "_refs_n", scorer)
+    d = d.select(*keep, "EM", F.col("_s.F1").alias("F1"), F.col("_s.ROUGE_L").alias("ROUGE_L"), lev.alias("LEV_SIM"))
+    return d.select(*keep, "EM", "F1", "ROUGE_L", "LEV_SIM",
+                    (F.col("ROUGE_L") >= tx.ROUGE_ACC_THRESHOLD).cast("int").alias("ACC_rouge70"),
+                    (F.col("LEV_SIM") >= tx.LEV_ACC_THRESHOLD).cast("int").alias("ACC_lev80"))
 
 
 def score_pairs(df: DataFrame, derive_tps: bool = True, lev_jaccard_cutoff: int | None = None) -> DataFrame:
     """build_metrics: numeric coercion, seconds, lengths, text scores, tps fallback."""
     types = dict(df.dtypes)
     d = spread_for_python(df)
-    for c in NUMERIC_COLUMNS:
-        if c in types:
-            d = d.withColumn(c, safe_double(c, types[c]))
-    for c in LATENCY_COLUMNS:
-        if c in types:
-            d = d.withColumn(c.replace("_ms", "_s"), ms_to_s(c))
-    d = (d.withColumn("q_len", tx.token_len("question"))
-          .withColumn("gold_len", tx.token_len("gold_answer"))
-          .withColumn("pred_len", tx.token_len("predicted_answer")))
+    # one projection for the coercions, seconds and lengths
+    cols = [safe_double(c, types[c]).alias(c) if c in NUMERIC_COLUMNS else F.col(c) for c in df.columns]
+    cols += [ms_to_s(safe_double(c, types[c])).alias(c.replace("_ms", "_s")) for c in LATENCY_COLUMNS if c in types]
+    cols += [tx.token_len("question").alias("q_len"), tx.token_len("gold_answer").alias("gold_len"),
+             tx.token_len("predicted_answer").alias("pred_len")]
+    d = d.select(*cols)
     d = add_text_scores(d, lev_jaccard_cutoff=lev_jaccard_cutoff)
     if derive_tps and "completion_tokens" in types and "latency_generation_ms" in types:
         derived = F.try_divide(F.col("completion_tokens"), F.col("latency_generation_s"))
