@@ -53,13 +53,19 @@ SCORE_COLS = ["pair_id", "EM", "F1", "ROUGE_L", "LEV_SIM", "ACC_rouge70", "ACC_l
               "latency_generation_s", "tokens_per_sec"]
 _SCORE_DOUBLES = {"F1", "ROUGE_L", "LEV_SIM", "latency_total_s", "latency_retrieval_s",
                   "latency_generation_s", "tokens_per_sec"}
+# nullable counts leave both engines as doubles (pandas turns a nullable
+# integer into float64 on one side and Int64 on the other)
+_NULLABLE_COUNTS = ("q_len", "gold_len", "pred_len")
 _SCORE_SQL = with_run_log(scored_ctes()) + " SELECT " + ", ".join(
-    f"{_r(c)} AS {c}" if c in _SCORE_DOUBLES else c for c in SCORE_COLS) + " FROM scored"
+    f"{_r(c)} AS {c}" if c in _SCORE_DOUBLES else (f"CAST({c} AS DOUBLE) AS {c}" if c in _NULLABLE_COUNTS else c)
+    for c in SCORE_COLS) + " FROM scored"
 
 
 @register("score_pairs", _SCORE_SQL)
 def q_score_pairs(spark, sf):
-    return rp.round_doubles(scored(spark, sf).select(*SCORE_COLS))
+    d = scored(spark, sf).select(*[F.col(c).cast("double").alias(c) if c in _NULLABLE_COUNTS else F.col(c)
+                                   for c in SCORE_COLS])
+    return rp.round_doubles(d)
 
 
 # ---------------------------------------------------------------- reports (A1/A3)

@@ -13,7 +13,8 @@ from ..sources.files import json_records, json_union, scan_lines
 
 
 def aggregate_with_audit(spark: SparkSession, input_dir: str, output_dir: str | None = None,
-                         canonical: list[str] | None = None, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+                         canonical: list[str] | None = None, fmt: str = "parquet",
+                         fallback_encoding: str | None = "iso-8859-1") -> tuple[DataFrame, DataFrame]:
     """Union every CSV/TSV/JSONL under ``input_dir`` and audit each file.
 
     An output folder under the input folder is excluded from the scan
@@ -22,7 +23,7 @@ def aggregate_with_audit(spark: SparkSession, input_dir: str, output_dir: str |
     exclude = None
     if output_dir and os.path.abspath(output_dir).startswith(os.path.abspath(input_dir).rstrip("/") + "/"):
         exclude = os.path.relpath(output_dir, input_dir)
-    lines = scan_lines(spark, input_dir, exclude=exclude)
+    lines = scan_lines(spark, input_dir, exclude=exclude, fallback_encoding=fallback_encoding)
     table = union_normalised(lines, canonical).drop("blk", "ord")
     audit = file_audit(lines, canonical)
     jl = scan_lines(spark, input_dir, "*.{jsonl,ndjson}", exclude=exclude)

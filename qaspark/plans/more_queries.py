@@ -250,14 +250,17 @@ WITH g AS (
   FROM g
 )
 SELECT event_id, """ + d_oneline(d_strip_reasoning(r"regexp_replace(coalesce(resp, ''), '^\s+|\s+$', '', 'g')")) + r""" AS text,
-       pt AS prompt_tokens, ct AS completion_tokens, coalesce(pt, 0) + coalesce(ct, 0) AS total_tokens,
+       CAST(pt AS DOUBLE) AS prompt_tokens, CAST(ct AS DOUBLE) AS completion_tokens,
+       coalesce(pt, 0) + coalesce(ct, 0) AS total_tokens,
        """ + _r("CASE WHEN ns <> 0 THEN ns / 1e9 ELSE wall END") + r""" AS gen_seconds,
        """ + _r("CASE WHEN (CASE WHEN ns <> 0 THEN ns / 1e9 ELSE wall END) > 0 THEN coalesce(ct, 0) / "
                 "(CASE WHEN ns <> 0 THEN ns / 1e9 ELSE wall END) END") + r""" AS tokens_per_sec
 FROM p""")
 def q_response_metrics(spark, sf):
     d = _raw_generate(spark, sf).select("event_id", rs.response_metrics("body", "wall_clock_s").alias("m"))
-    return rp.round_doubles(d.select("event_id", "m.text", "m.prompt_tokens", "m.completion_tokens",
+    # nullable counts as doubles in both engines (see score_pairs)
+    return rp.round_doubles(d.select("event_id", "m.text", F.col("m.prompt_tokens").cast("double").alias("prompt_tokens"),
+                                     F.col("m.completion_tokens").cast("double").alias("completion_tokens"),
                                      "m.total_tokens", "m.gen_seconds", "m.tokens_per_sec"))
 
 

@@ -33,21 +33,38 @@ def _children_except(spark: SparkSession, root: str, exclude: str) -> list[str]:
     return [st.getPath().toString() for st in fs.listStatus(path) if st.getPath().getName() != top]
 
 
-def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclude: str | None = None) -> DataFrame:
-    """Every line of every matching file under ``root`` (recursive).
+def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclude: str | None = None,
+               fallback_encoding: str | None = None) -> DataFrame:
+    """Every line of every matching file under ``root`` (recursive).
 
     Returns (file relative to root, blk, ord, line).  ``exclude`` (a path
     relative to root, e.g. the job's own output, Q11) is left out of the
-    listing itself, so its files are never opened.
+    listing itself, so its files are never opened.  With
+    ``fallback_encoding`` (e.g. ``iso-8859-1``, the original's latin-1), files that are not
+    valid UTF-8 (``is_valid_utf8`` fails on a line) are read again in that
+    encoding; only their names reach the driver.
     """
     paths = _children_except(spark, root, exclude) if exclude else [root]
     if not paths:
         return spark.createDataFrame([], "file string, blk long, ord long, line string")
-    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(paths)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    df = (reader.text(paths)
           .select(_relative(F.col("_metadata.file_path"), root).alias("file"),
+                  F.col("_metadata.file_path").alias("_path"),
                   F.col("_metadata.file_block_start").alias("blk"),
                   F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")))
-    return df
+    if not fallback_encoding:
+        return df.drop("_path")
+    bad = [r[0] for r in df.where(~F.is_valid_utf8("line")).select("_path").distinct().collect()]
+    if not bad:
+        return df.drop("_path")
+    # one column per line: a separator and quote that never occur, the file's encoding
+    redo = (spark.read.option("encoding", fallback_encoding).option("sep", "\u0001").option("quote", "\u0000")
+            .option("header", "false").schema("line string").csv(bad)
+            .select(_relative(F.col("_metadata.file_path"), root).alias("file"),
+                    F.col("_metadata.file_block_start").alias("blk"),
+                    F.monotonically_increasing_id().alias("ord"), F.coalesce("line", F.lit("")).alias("line")))
+    return df.where(~F.col("_path").isin(bad)).drop("_path").unionByName(redo)
 
 
 def scan_json_lines(spark: SparkSession, root: str, glob: str = JSONL_GLOB) -> DataFrame:

@@ -101,3 +101,12 @@ def test_sql_functions(spark):
     r = spark.sql("select qa_em('Hello, World!', 'hello world') em, qa_lev_sim('saxòfon', 'saxofon') lev, "
                   "qa_oneline(qa_strip_reasoning('<think>x</think> Answer  here')) s").first()
     assert r["em"] == 1 and r["lev"] == pytest.approx(6 / 7) and r["s"] == "Answer here"
+
+
+def test_encoding_fallback(spark):
+    root = tempfile.mkdtemp(prefix="qaspark-enc-")
+    _write(root, "latin.csv", "question,gold_answer\nq1,café crème\n", enc="cp1252")
+    _write(root, "utf.csv", "question,gold_answer\nq2,niño\n")
+    lines = scan_lines(spark, root, fallback_encoding="iso-8859-1")
+    got = {r["line"] for r in lines.collect()}
+    assert "q1,café crème" in got and "q2,niño" in got
