@@ -34,3 +34,37 @@ def aggregate_with_audit(spark: SparkSession, input_dir: str, output_dir: str |
         write_table(table, f"{output_dir}/aggregate", fmt)
         write_table(audit, f"{output_dir}/audit", fmt)
     return table, audit
+
+
+def union_bench_outputs(spark: SparkSession, roots: list[str], pattern: str = "*.csv",
+                        keep_source_path: bool = False) -> DataFrame:
+    """The multi-root union: S6 + S7 + P9 + U1 + O4.
+
+    Every matching CSV under the roots (missing roots warned and skipped),
+    ``db_lang`` from the path (``bench_out_xx`` folder, else the file-name
+    tail) as the first column, columns aligned by name, rows stably ordered
+    by db_lang, then file and line.
+    """
+    from ..functions.columns import lang_from_path
+    from ..sources.files import scan_roots
+    lines = scan_roots(spark, roots, pattern)
+    lines = lines.withColumn("file", F.concat_ws("/", F.col("root"), F.col("file"))).drop("root")
+    t = union_normalised(lines, None, provenance="source_path")
+    t = t.withColumn("db_lang", lang_from_path("source_path"))
+    cols = ["db_lang"] + [c for c in t.columns if c not in ("db_lang", "source_path", "blk", "ord")]
+    if keep_source_path:
+        cols.append("source_path")
+    return t.orderBy("db_lang", "source_path", "blk", "ord").select(*cols)
+
+
+def aggregate_results(spark: SparkSession, in_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The flat-folder union: S8 + P8 (``__file`` = base name) + U1, and A4
+    (mean of the run-log metrics per llm, embedding, language, top_k)."""
+    from ..functions.columns import safe_double
+    from ..operators.reports import CONFIG_METRICS, config_means
+    lines = scan_lines(spark, in_dir, "*.csv")
+    t = union_normalised(lines, None, provenance="__file").drop("blk", "ord")
+    t = t.withColumn("__file", F.element_at(F.split("__file", "/"), -1))
+    typed = t.select(*[safe_double(c).alias(c) if c in CONFIG_METRICS else F.col(c) for c in t.columns])
+    keys = [k for k in ("llm", "embedding", "language", "top_k") if k in typed.columns]
+    return t, config_means(typed, keys)

@@ -157,3 +157,14 @@ def load_canonical(spark: SparkSession, schema_json: str | None = None, schema_c
     if schema_csv:
         return [norm_col(c) for c in spark.read.option("header", "true").csv(schema_csv).columns]
     return None
+
+
+def read_run_log(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """A run-log CSV with a given separator and encoding, all strings.
+
+    Types are applied later by ``score_pairs`` (bad numbers -> null), not
+    inferred, so one malformed cell never changes a column's type.
+    """
+    df = (spark.read.option("header", "true").option("sep", sep).option("encoding", encoding)
+          .option("multiLine", "true").option("escape", '"').csv(path))
+    return df.toDF(*[c.lstrip("﻿") for c in df.columns])

@@ -110,3 +110,30 @@ def test_encoding_fallback(spark):
     lines = scan_lines(spark, root, fallback_encoding="iso-8859-1")
     got = {r["line"] for r in lines.collect()}
     assert "q1,café crème" in got and "q2,niño" in got
+
+
+def test_bench_outputs_and_results(spark, tmp_path):
+    from qaspark.plans.ingest import aggregate_results, union_bench_outputs
+    root = str(tmp_path)
+    _write(root, "bench_out_ca/r1.csv", "question,llm,embedding,language,top_k,latency_total_ms\nq1,m,e,ca,3,100\n")
+    _write(root, "bench_out_es/r2.csv", "question,llm,embedding,language,top_k,latency_total_ms\nq2,m,e,es,3,300\n")
+    _write(root, "flat/results_x_k3.csv", "question,llm,embedding,language,top_k,latency_total_ms\nq3,m,e,es,3,x\n")
+    u = union_bench_outputs(spark, [f"{root}/bench_out_es", f"{root}/bench_out_ca", f"{root}/missing"])
+    rows = u.collect()
+    assert u.columns[0] == "db_lang" and [r["db_lang"] for r in rows] == ["ca", "es"]
+    t, means = aggregate_results(spark, f"{root}/bench_out_ca")
+    assert t.first()["__file"] == "r1.csv" and means.first()["latency_total_ms"] == 100.0
+    u2 = union_bench_outputs(spark, [f"{root}/flat"])
+    assert u2.first()["db_lang"] == "k3.csv"
+
+
+def test_writers(spark, tmp_path):
+    from qaspark.sinks.writers import write_new, write_record_files, write_run_log
+    df = spark.createDataFrame([("s01e01.txt", "Título: x\n"), ("s01e02.txt", "Título: y\n")], "name string, doc string")
+    write_record_files(df, str(tmp_path / "docs"), "name", "doc")
+    assert spark.read.option("wholetext", "true").text(str(tmp_path / "docs")).count() == 2
+    write_run_log(df, str(tmp_path / "log"))
+    with pytest.raises(ValueError):
+        write_run_log(df.limit(0), str(tmp_path / "empty"))
+    p = write_new(df, str(tmp_path / "log"), run_id="r2")
+    assert p.endswith("_r2")
