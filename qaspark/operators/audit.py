@@ -77,11 +77,17 @@ def _split_fields(line: Column, delim: Column, n: int) -> Column:
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """(file, header, delimiter, names array<string>, n_header) - one row per file."""
-    first = lines.where(F.col("blk") == 0).groupBy("file").agg(F.min_by("line", "ord").alias("header"))
+    """(file, header, delimiter, names array<string>, n_header) - one row per file.
+
+    Checkpointed once (one small row per file): the schema probes and the
+    record join read it instead of scanning the lines again.
+    """
+    from .partitioning import materialize
+    first = lines.where(F.col("blk") == 0).groupBy("file").agg(F.min_by("line", "ord").alias("header"),
+                                                               F.min("ord").alias("header_ord"))
     first = first.withColumn("header", F.regexp_replace("header", "^" + BOM, ""))
     first = first.withColumn("delimiter", sniff_delimiter("header"))
-    first = first.withColumn("n_header", field_count("header", "delimiter"))
+    first = materialize(first.withColumn("n_header", field_count("header", "delimiter")))
     max_n = first.agg(F.max("n_header")).first()[0] or 1   # schema-level: widest header
     names = _split_fields(F.col("header"), F.col("delimiter"), max_n)
     first = first.withColumn("names", F.transform(F.slice(names, 1, F.col("n_header")), norm_col_expr))
@@ -100,10 +106,9 @@ def dedupe_names(names) -> Column:
 
 def records(lines: DataFrame, hdr: DataFrame) -> DataFrame:
     """Data lines (header removed) with their file's delimiter and field count."""
-    h = hdr.select("file", "delimiter", "n_header", "names", F.col("header").alias("_h"))
-    first_ord = lines.where(F.col("blk") == 0).groupBy("file").agg(F.min("ord").alias("_first"))
-    r = lines.join(first_ord, "file").where(~((F.col("blk") == 0) & (F.col("ord") == F.col("_first"))))
-    r = r.join(h, "file").drop("_first", "_h")
+    h = hdr.select("file", "delimiter", "n_header", "names", "header_ord")
+    r = lines.join(h, "file")
+    r = r.where(~((F.col("blk") == 0) & (F.col("ord") == F.col("header_ord")))).drop("header_ord")
     return r.withColumn("n_fields", field_count("line", "delimiter"))
 
 
