@@ -110,8 +110,6 @@ def rouge_from(pt: str, rt: str, lcs: str) -> str:
 def scored_ctes(source: str = "run_log", key: str = "pair_id", with_rouge: bool = True,
                 with_lev: bool = True) -> str:
     """CTE chain ending in ``scored``: build_metrics over ``source``."""
-    cols = []
-    cols.append("s2.*")
     ctes = f"""
 s0 AS (
   SELECT r.*, {norm('r.predicted_answer')} AS _pn, {refs('r.gold_answer')} AS _refs FROM {source} r
