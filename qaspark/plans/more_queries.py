@@ -518,6 +518,12 @@ def q_rag_pipeline(spark, sf):
     """Grid x gold -> retrieval -> prompt -> generate -> grade -> groundedness (stand-in models)."""
     return benchmark_run_log(spark, sf)
 
+
+@register("rag_pipeline_semantic")
+def q_rag_pipeline_semantic(spark, sf):
+    """The same run with semantic groundedness (cosine to the retrieved chunks, lexical fallback)."""
+    return benchmark_run_log(spark, sf, groundedness="semantic")
+
 # ---------------------------------------------------------------- U5 token Jaccard, contamination join
 from ..functions import text as tx  # noqa: E402
 from ..operators.contamination import contamination  # noqa: E402
