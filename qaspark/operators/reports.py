@@ -8,6 +8,7 @@ original (``dropna=False``).  Bootstrap intervals come from
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -147,7 +148,8 @@ def report_family_means(scored: DataFrame, keysets: dict[str, list[str]] | None
         uniq.setdefault(tuple(keys), []).append(name)
     # grouping_id takes the keys in their order of first appearance
     all_keys = list(dict.fromkeys(k for ks in uniq for k in ks))
-    scored.createOrReplaceTempView("_qaspark_scored")
+    view = f"_qaspark_scored_{uuid.uuid4().hex}"   # unique: concurrent callers never clash
+    scored.createOrReplaceTempView(view)
     sets = ", ".join("(" + ", ".join(ks) + ")" for ks in uniq)
     aggs = ", ".join(
         ["count(question) AS n"]
@@ -156,7 +158,7 @@ def report_family_means(scored: DataFrame, keysets: dict[str, list[str]] | None
            for name, src in MEAN_SPEC])
     gid = f"grouping_id({', '.join(all_keys)})"
     fam = scored.sparkSession.sql(
-        f"SELECT {', '.join(all_keys)}, {gid} AS _gid, {aggs} FROM _qaspark_scored "
+        f"SELECT {', '.join(all_keys)}, {gid} AS _gid, {aggs} FROM {view} "
         f"GROUP BY GROUPING SETS ({sets})")
     # map grouping ids to report names (bit i set = key i not grouped)
     rows = []

@@ -14,6 +14,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # reliable checkpoints are removed once no plan references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Arrow batches sized for text columns: whole documents can be long.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
