@@ -31,6 +31,9 @@ EXAMPLES_PER_FILE = 3
 EXAMPLE_CHARS = 200
 EXAMPLE_SEPARATOR = " || "
 BOM = "﻿"
+# Header rows broadcast to the line scan up to this many files (one small
+# row each); beyond it the join is left to Catalyst/AQE (skew splitting).
+BROADCAST_MAX_FILES = 200_000
 
 
 def sniff_delimiter(header) -> Column:
@@ -107,6 +110,10 @@ def dedupe_names(names) -> Column:
 def records(lines: DataFrame, hdr: DataFrame) -> DataFrame:
     """Data lines (header removed) with their file's delimiter and field count."""
     h = hdr.select("file", "delimiter", "n_header", "names", "header_ord")
+    # the header table is checkpointed: counting it is a cheap scan; with a
+    # bounded row count it is broadcast so the lines are never shuffled
+    if hdr.count() <= BROADCAST_MAX_FILES:
+        h = F.broadcast(h)
     r = lines.join(h, "file")
     r = r.where(~((F.col("blk") == 0) & (F.col("ord") == F.col("header_ord")))).drop("header_ord")
     return r.withColumn("n_fields", field_count("line", "delimiter"))
