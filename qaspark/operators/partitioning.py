@@ -67,7 +67,13 @@ def spread_for_python(df: DataFrame, min_partitions: int | None = None) -> DataF
     same rows.
     """
     # twice the cores: per-row cost varies (a whole document vs a sentence)
-    target = min_partitions or 2 * df.sparkSession.sparkContext.defaultParallelism
+    if min_partitions:
+        target = min_partitions
+    else:
+        try:
+            target = 2 * df.sparkSession.sparkContext.defaultParallelism
+        except Exception:   # no JVM handle (e.g. a remote session): the shuffle default
+            target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if _is_small(df, target):
         return df.repartition(target)
     return df

@@ -49,8 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session; a private folder is
     only created when it is unset (local runs and tests).
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:   # remote session: the server owns the checkpoint folder
+        return d or ""
+    d = d or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="qaspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
