@@ -53,8 +53,11 @@ def score_pairs(df: DataFrame, derive_tps: bool = True, lev_jaccard_cutoff: int
     """build_metrics: numeric coercion, seconds, lengths, text scores, tps fallback."""
     types = dict(df.dtypes)
     d = spread_for_python(df)
-    # one projection for the coercions, seconds and lengths
-    cols = [safe_double(c, types[c]).alias(c) if c in NUMERIC_COLUMNS else F.col(c) for c in df.columns]
+    # one projection for the coercions, seconds and lengths; integral columns
+    # stay integral (to_numeric keeps them), text and floats become doubles
+    integral = {"tinyint", "smallint", "int", "bigint"}
+    cols = [safe_double(c, types[c]).alias(c) if c in NUMERIC_COLUMNS and types[c] not in integral else F.col(c)
+            for c in df.columns]
     cols += [ms_to_s(safe_double(c, types[c])).alias(c.replace("_ms", "_s")) for c in LATENCY_COLUMNS if c in types]
     cols += [tx.token_len("question").alias("q_len"), tx.token_len("gold_answer").alias("gold_len"),
              tx.token_len("predicted_answer").alias("pred_len")]

@@ -58,7 +58,8 @@ topk AS (SELECT * FROM (SELECT p.*, row_number() OVER (PARTITION BY query_id ORD
                         FROM p) WHERE rank <= 3)"""
 
 
-@register("topk_retrieval", f"WITH {_TOPK_CTE} SELECT query_id, rank, doc_id, {_r('sim')} AS sim FROM topk")
+@register("topk_retrieval", f"WITH {_TOPK_CTE} SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, "
+                            f"{_r('sim')} AS sim FROM topk")
 def q_topk_retrieval(spark, sf):
     return rp.round_doubles(_emb_topk(spark, sf))
 
@@ -468,7 +469,8 @@ hdr AS (
 ), expct AS (SELECT names AS exp FROM hn ORDER BY file LIMIT 1)
 SELECT hn.file, hn.dl AS delimiter, coalesce(cnt.n_rows_data, 0) AS n_rows_data,
        coalesce(cnt.n_bad_rows_parse, 0) AS n_bad_rows_parse,
-       len(list_distinct(expct.exp)) AS cols_expected_count, len(list_distinct(hn.names)) AS cols_found_count,
+       CAST(len(list_distinct(expct.exp)) AS INTEGER) AS cols_expected_count,
+       CAST(len(list_distinct(hn.names)) AS INTEGER) AS cols_found_count,
        array_to_string(list_sort(list_distinct(list_filter(expct.exp, lambda e: NOT list_contains(hn.names, e)))), '|')
          AS cols_missing,
        coalesce(ex.bad_examples, '') AS bad_examples
@@ -552,7 +554,8 @@ WITH ds AS (SELECT DISTINCT doc_id, unnest({_d_shingles('t')}) AS shingle
 bs AS (SELECT item_id, shingle, count(*) OVER (PARTITION BY item_id) AS n_item_shingles
        FROM (SELECT DISTINCT item_id, unnest({_d_shingles('t')}) AS shingle
              FROM (SELECT item_id, {d_toks(d_norm('text'))} AS t FROM benchmark)))
-SELECT item_id, doc_id, count(*) AS shared, n_item_shingles, {_r('count(*) / n_item_shingles')} AS containment
+SELECT item_id, doc_id, count(*) AS shared, CAST(n_item_shingles AS INTEGER) AS n_item_shingles,
+       {_r('count(*) / n_item_shingles')} AS containment
 FROM ds JOIN bs USING (shingle) GROUP BY item_id, doc_id, n_item_shingles
 HAVING count(*) / n_item_shingles >= 0.5""")
 def q_contamination(spark, sf):
