@@ -29,11 +29,11 @@ def test_question_key_derived(spark):
 
 
 def test_column_helpers(spark):
-    df = spark.createDataFrame([("Homer", 3, "Synopsis", "Bart", None, "  text  ")],
+    df = spark.createDataFrame([("Ada", 3, "Synopsis", "Grace", None, "  text  ")],
                                "t string, e int, s string, p string, f string, x string")
     r = df.select(cl.record_text("t", "e", "s", "p").alias("doc"), cl.episode_file("e").alias("fn"),
                   cl.source_snippet("x", "f").alias("sn"), cl.fmt_pct(F.lit(0.1234)).alias("pct")).first()
-    assert r["doc"].startswith("Título: Homer\nTemporada: 1\nEpisodio: 3\n") and r["fn"] == "s01e03.txt"
+    assert r["doc"].startswith("Título: Ada\nTemporada: 1\nEpisodio: 3\n") and r["fn"] == "s01e03.txt"
     assert r["sn"]["file"] == "desconocido" and r["sn"]["text"] == "text" and r["pct"] == "12.3%"
     wide = spark.createDataFrame([(1, 2, 3, 4)], "zeta int, question int, alpha int, run_id int")
     assert cl.preferred_order(wide).columns == ["run_id", "question", "alpha", "zeta"]
