@@ -561,3 +561,22 @@ HAVING count(*) / n_item_shingles >= 0.5""")
 def q_contamination(spark, sf):
     return rp.round_doubles(contamination(spread_for_python(table(spark, sf, "documents")),
                                           table(spark, sf, "benchmark")))
+
+
+# ---------------------------------------------------------------- A1 + A2 (hash form) + J5: a full report with a twin
+def _full_report_sql(by):
+    from .catalog import _means_sql
+    inner = bootstrap_ci_hash_sql("scored", by, rp.CI_METRICS, "pair_id")
+    ci_cols = [f"{_r('c.' + c)} AS {c}" for m in rp.CI_METRICS for c in (f"{m}_ci_lo", f"{m}_ci_hi")]
+    on = " AND ".join(f"m.{k} IS NOT DISTINCT FROM c.{k}" for k in by)
+    return (with_run_log(scored_ctes(), f"ci AS ({inner})", f"means AS ({_means_sql(by)})")
+            + f" SELECT m.*, {', '.join(ci_cols)} FROM means m LEFT JOIN ci c ON {on}")
+
+
+@register("report_by_answer_lang_with_ci_hash", _full_report_sql(["language"]))
+def q_report_lang_ci_hash(spark, sf):
+    """The by-language report: means joined (null-safe, J5) to the hash-bootstrap intervals."""
+    d = scored(spark, sf)
+    means = rp.agg_means(d, ["language"])
+    cis = bootstrap_ci_hash(d, ["language"], rp.CI_METRICS, "pair_id")
+    return rp.round_doubles(rp.join_on_keys(means, cis, ["language"]))
