@@ -138,3 +138,18 @@ def test_writers(spark, tmp_path):
         write_run_log(df.limit(0), str(tmp_path / "empty"))
     p = write_new(df, str(tmp_path / "log"), run_id="r2")
     assert p.endswith("_r2")
+
+
+def test_read_gold(spark, tmp_path):
+    from qaspark.sources.files import read_gold
+    p = tmp_path / "gold.csv"
+    p.write_text("﻿q_index10;question;gold_answer;language\n1;¿Quién toca el saxòfon?;“Ada”, la hermana;es\n"
+                 "2;Who is it?;Grace’s friend;en\n", encoding="utf-8")
+    g = read_gold(spark, str(p))
+    assert g.columns == ["q_index10", "question", "gold_answer", "language"]
+    rows = g.orderBy("q_index10").collect()
+    assert rows[0]["gold_answer"] == "“Ada”, la hermana" and rows[1]["language"] == "en"
+    bad = tmp_path / "bad.csv"
+    bad.write_text("question,answer\nq,a\n", encoding="utf-8")
+    with pytest.raises(ValueError):
+        read_gold(spark, str(bad))
