@@ -118,7 +118,8 @@ def q_lexical_support(spark, sf):
 SELECT pair_id, sc.f AS factual_consistency_0_10, sc.h AS hallucination_rate_0_1
 FROM (SELECT pair_id, {sentence_cov('predicted_answer', 'context')} AS sc FROM rc)""")
 def q_sentence_coverage(spark, sf):
-    d = run_log_with_context(spark, sf).select("pair_id", gr.sentence_coverage("predicted_answer", "context").alias("sc"))
+    d = gr.add_sentence_coverage(run_log_with_context(spark, sf).select("pair_id", "predicted_answer", "context"),
+                                 "predicted_answer", "context", "sc")
     return d.select("pair_id", "sc.factual_consistency_0_10", "sc.hallucination_rate_0_1")
 
 
