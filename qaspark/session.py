@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _DEFAULTS = {
     "spark.ui.enabled": "false",
@@ -46,16 +48,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
-    ``spark.checkpoint.dir`` is read from the session; a private folder is
-    only created when it is unset (local runs and tests).
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    private folder is created for a local master only (tests): on a cluster
+    each executor would write to its own disk, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:   # remote session: the server owns the checkpoint folder
-        return d or ""
+    sc = spark.sparkContext
     d = d or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^-]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="qaspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:
@@ -64,6 +66,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{name}"
+    """A new sub-folder of the shared checkpoint folder for a written table."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    The copy survives lost executors, and later plans see its size.
+    """
+    path = checkpoint_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
