@@ -181,6 +181,11 @@ def library_encoder(path: str, cut: Cut, separator: str) -> ChunkEncoder:
     return ChunkEncoder(cut, encode_new, dtype)
 
 
+def broadcast_if_small(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, to be broadcast if it is as small as that; else any join may be chosen."""
+    return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, by alternating large and small stars.
 
