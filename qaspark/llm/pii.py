@@ -38,6 +38,8 @@ PATTERNS = {
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(PATTERNS.values())
+#: The places between two characters.
+BETWEEN = "(?<=.)(?=.)"
 #: 400 Gregorian years repeat, and their days are 189 * 773.
 CYCLE, DAY_RADICES = 146_097, (189, 773)
 EPOCH = "1600-01-01"
@@ -91,7 +93,7 @@ def _characters(text: Column, tweak: Column, key: str, keep_first: Column, low_f
         symbols = F.zip_with(chars, bases, lambda c, b: (F.ascii(c) - b).cast("int"))
         return F.array_join(F.zip_with(feistel(symbols, radices, tweak, key), bases, lambda x, b: F.char(x + b)), "")
 
-    return F.when(F.length(text) > 0, let(F.split(text, "(?!^)"), run)).otherwise(F.lit(""))
+    return F.when(F.length(text) > 0, let(F.split(text, BETWEEN), run)).otherwise(F.lit(""))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -150,7 +152,7 @@ def _phone(m: Column, key: str) -> Column:
 
 def _luhn_sum(digits: Column, double_first: int) -> Column:
     """Luhn sum of digits from the right; every other one is doubled, beginning with ``double_first`` (0 or 1)."""
-    values = F.transform(F.split(F.reverse(digits), "(?!^)"), lambda c, i: F.when(i % 2 == double_first, c.cast("int") * 2).otherwise(c.cast("int")))
+    values = F.transform(F.split(F.reverse(digits), BETWEEN), lambda c, i: F.when(i % 2 == double_first, c.cast("int") * 2).otherwise(c.cast("int")))
     return F.aggregate(values, F.lit(0), lambda a, v: (a + F.when(v > 9, v - 9).otherwise(v)).cast("int"))
 
 

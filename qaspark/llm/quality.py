@@ -147,9 +147,11 @@ lf AS (
 lines AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (nth > 1) AS n_dup_lines, count(*) FILTER (fails) AS n_removed_lines,
          coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS removed_chars FROM lf GROUP BY doc_id),
+u AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM d),
 win AS (
-  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
-wk AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(w[i : i + 4], ' ')) AS c FROM win),
+  SELECT doc_id, i, concat_ws(' ', v, lead(v) OVER o, lead(v, 2) OVER o, lead(v, 3) OVER o, lead(v, 4) OVER o) AS k, lead(v, 4) OVER o AS fifth
+  FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+wk AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win WHERE fifth IS NOT NULL),
 rep AS (
   SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM wk WHERE c > 1) GROUP BY doc_id),
 j AS (

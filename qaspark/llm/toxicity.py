@@ -24,10 +24,12 @@ from qaspark.session import written
 TRAIN_DOCS = 6_000
 #: Size of the model: features kept, half for either class, by how surely they tell the classes apart.
 FEATURES = 4_000
+#: Standard errors by which a feature's rates in the classes must differ; chance alone rarely gets so far.
+LEAST_Z = 2.7
 #: Lengths of word beginnings that are features besides the whole word (Latin, Greek and Cyrillic words decline at their end).
 STEMS = (4, 5, 6)
 #: Weights of the squared model weights and of the squared changes of score.
-RIDGE, COUNTERFACTUAL = 1e-4, 1.0
+RIDGE, COUNTERFACTUAL = 2e-5, 0.1
 #: A text is predicted toxic from this score on.
 THRESHOLD = 0.7
 #: Identity terms; a swap takes the next term of the same list.
@@ -148,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     # how many standard errors the two classes' log rates are apart
     z = (F.log(p1) - F.log(p0)) / F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
     scored = counts.where("f != ''").select("f", z.alias("z"))
+    scored = scored.where(F.abs("z") >= LEAST_Z)
     top = [r.f for order in (F.desc("z"), F.asc("z")) for r in scored.orderBy(order, "f").limit(FEATURES // 2).collect()]
     names = sorted({*top, *features(set(_TERMS))})
     place = {f: i for i, f in enumerate(names)}
