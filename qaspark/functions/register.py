@@ -18,11 +18,6 @@ _NATIVE = {
                      r"trim(regexp_replace(lower(coalesce(s, '')), '[^\\p{L}\\p{N}_-]+', ' '))"),
     "qa_tokens": ("s STRING", "ARRAY<STRING>", "filter(split(qa_normalize(s), ' '), t -> t <> '')"),
     "qa_em": ("a STRING, b STRING", "INT", "CAST(qa_normalize(a) = qa_normalize(b) AS INT)"),
-    "qa_lev_sim": ("a STRING, b STRING", "DOUBLE",
-                   "CASE WHEN length(qa_normalize(a)) = 0 AND length(qa_normalize(b)) = 0 THEN 1.0 "
-                   "WHEN length(qa_normalize(a)) = 0 OR length(qa_normalize(b)) = 0 THEN 0.0 "
-                   "ELSE 1.0 - levenshtein(qa_normalize(a), qa_normalize(b)) / "
-                   "greatest(length(qa_normalize(a)), length(qa_normalize(b))) END"),
     "qa_jaccard": ("a STRING, b STRING", "DOUBLE",
                    "size(array_intersect(array_distinct(qa_tokens(a)), array_distinct(qa_tokens(b)))) / "
                    "greatest(size(array_union(array_distinct(qa_tokens(a)), array_distinct(qa_tokens(b)))), 1)"),
@@ -46,7 +41,6 @@ def register(spark: SparkSession) -> list[str]:
     """Create the temporary SQL functions; returns their names."""
     for name, (args, ret, body) in _NATIVE.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {ret} RETURN {body}")
-    spark.udf.register("qa_scores", tx._pair_scores_udf)          # (normalised pred, array of normalised refs)
+    spark.udf.register("qa_pair_measures", tx._pair_measures_udf)  # (normalised pred, array of normalised refs) -> shared tokens, LCS, edits
     spark.udf.register("qa_fold_accents", gr._fold_accents_udf)
-    spark.udf.register("qa_lexical_support_raw", gr._lexical_udf)  # (answer, context, lang) -> (support, empty)
-    return list(_NATIVE) + ["qa_scores", "qa_fold_accents", "qa_lexical_support_raw"]
+    return list(_NATIVE) + ["qa_pair_measures", "qa_fold_accents"]

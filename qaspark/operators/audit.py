@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import norm_col_expr
+
 # The candidate delimiters in tie-break order, the quoted
 # field pattern (unrolled so Java's regex engine does not recurse per
 # character), and the audit's example limits.
@@ -31,9 +33,6 @@ EXAMPLES_PER_FILE = 3
 EXAMPLE_CHARS = 200
 EXAMPLE_SEPARATOR = " || "
 BOM = "﻿"
-# Header rows broadcast to the line scan up to this many files (one small
-# row each); beyond it the join is left to Catalyst/AQE (skew splitting).
-BROADCAST_MAX_FILES = 200_000
 
 
 def sniff_delimiter(header) -> Column:
@@ -58,15 +57,6 @@ def _re_escape(d: str) -> str:
     return {"|": r"\|", "\t": "\t"}.get(d, d)
 
 
-def norm_col_expr(name) -> Column:
-    """P1 as an expression: trim, lower, collapse spaces, fold º/ª, non [a-z0-9] -> '_'."""
-    s = F.lower(F.trim(F.regexp_replace(F.col(name) if isinstance(name, str) else name, BOM, "")))
-    s = F.regexp_replace(s, r"\s+", " ")
-    s = F.translate(s, "ºª", "oa")
-    s = F.regexp_replace(s, "[^a-z0-9]+", "_")
-    return F.regexp_replace(s, "^_+|_+$", "")
-
-
 def _split_fields(line: Column, delim: Column, n: int) -> Column:
     """Fields via Spark's CSV parser (quoted fields, doubled quotes inside them)."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(n, 1))])
@@ -98,23 +88,20 @@ def headers(lines: DataFrame) -> DataFrame:
 
 
 def dedupe_names(names) -> Column:
-    """Q9: a repeated normalised name gets _2, _3 ... in order of appearance."""
-    arr = F.col(names) if isinstance(names, str) else names
+    """Q9: a name that is taken already gets the first free _2, _3 ...; all names differ at the end."""
+    given = F.col(names) if isinstance(names, str) else names
 
-    def earlier(x, i):
-        return F.size(F.filter(F.slice(arr, 1, i), lambda y: y == x))
-    return F.transform(arr, lambda x, i: F.when(earlier(x, i) > 0, F.concat(x, F.lit("_"), (earlier(x, i) + 1)
-                                                                              .cast("string"))).otherwise(x))
+    def add(out, x):
+        made = F.transform(F.sequence(F.lit(2), F.size(given) + 1), lambda k: F.concat(x, F.lit("_"), k.cast("string")))
+        free = F.filter(made, lambda m: ~F.array_contains(out, m) & ~F.array_contains(given, m))
+        return F.concat(out, F.array(F.when(F.array_contains(out, x), F.get(free, F.lit(0))).otherwise(x)))
+    return F.aggregate(given, F.array().cast("array<string>"), add)
 
 
 def records(lines: DataFrame, hdr: DataFrame) -> DataFrame:
     """Data lines (header removed) with their file's delimiter and field count."""
-    h = hdr.select("file", "delimiter", "n_header", "names", "header_ord")
-    # the header table is checkpointed: counting it is a cheap scan; with a
-    # bounded row count it is broadcast so the lines are never shuffled
-    if hdr.count() <= BROADCAST_MAX_FILES:
-        h = F.broadcast(h)
-    r = lines.join(h, "file")
+    # one row a file; the optimizer broadcasts it when its size allows
+    r = lines.join(hdr.select("file", "delimiter", "n_header", "names", "header_ord"), "file")
     r = r.where(~((F.col("blk") == 0) & (F.col("ord") == F.col("header_ord")))).drop("header_ord")
     return r.withColumn("n_fields", field_count("line", "delimiter"))
 

@@ -1,218 +1,141 @@
 """A2: percentile bootstrap confidence intervals of group means.
 
-Two execution paths, chosen per group from its row count (one partial
-aggregate, no job on the driver):
-
-* groups with at most ``exact_max`` rows resample exactly like the
-  original: a fresh ``numpy.random.default_rng(seed)`` per group and
-  metric, ``n_boot`` draws of n values with replacement, percentiles of the
-  replicate means.  Values are ordered by ``order_by`` (or the row id) so
-  the draws are reproducible.  A group of this size fits one task by
-  construction.
-* larger groups are split into ``ceil(n / exact_max)`` salted buckets.
-  Each bucket emits, per replicate, the Poisson(1)-weighted sums
-  (sum w*x, sum w) with weights from a counter-based hash of (row id,
-  replicate, seed), so the result does not depend on partitioning or
-  retries.  Buckets are summed per (group, replicate) with a map-side
-  combine; the percentiles are taken over the n_boot replicate means.  No
-  task ever holds more than ``exact_max`` rows of one group.
-
-``bootstrap_ci_hash`` is the same Poisson bootstrap written with SQL
-functions only (md5-derived weights), so DuckDB can check it.
+One algorithm for groups of every size, the Poisson bootstrap: in each of
+``n_boot`` replicates a row counts w times, w drawn from Poisson(1) by a hash of
+the row's ids, the replicate and the seed.  A task draws a row's weights once for
+all metrics and keeps sums per (group, replicate); only those are shuffled, so
+a group of any size is spread over all tasks.  Sums are integers (values in
+units of 1e-9), so results depend neither on partitioning nor on retries.
+
+The hash is integer arithmetic modulo the prime 2^31 - 1, which DuckDB computes as well
+(``bootstrap_ci_sql``).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-EXACT_MAX = 50_000
-_REPLICATE_CHUNK = 100
-_POISSON_ROWS = 2_000
-
-
-def poisson1_cdf(kmax: int = 12) -> list[float]:
-    """CDF of Poisson(1) at 0..kmax, from the rule P(k) = e^-1 / k!."""
-    out, acc = [], 0.0
-    for k in range(kmax + 1):
-        acc += math.exp(-1.0) / math.factorial(k)
-        out.append(acc)
-    return out
-
-
-_CDF = np.asarray(poisson1_cdf(), dtype=np.float64)
-
-
-def _splitmix64(x: np.ndarray) -> np.ndarray:
-    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-    x = ((x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)).astype(np.uint64)
-    x = ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).astype(np.uint64)
-    return x ^ (x >> np.uint64(31))
-
-
-def poisson_weights(rid: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
-    """Poisson(1) weights for rows x replicates from a hash of (rid, rep, seed)."""
-    with np.errstate(over="ignore"):
-        r = rid.astype(np.uint64)[:, None]
-        b = reps.astype(np.uint64)[None, :]
-        h = _splitmix64(_splitmix64(r ^ np.uint64(seed & 0xFFFFFFFFFFFFFFFF)) + b)
-    u = (h >> np.uint64(11)).astype(np.float64) * (1.0 / (1 << 53))
-    return np.searchsorted(_CDF, u, side="right").astype(np.float64)
-
-
-def exact_ci(values: np.ndarray, n_boot: int, alpha: float, seed: int) -> tuple[float | None, float | None]:
-    """The original resampling: default_rng(seed).choice(values, (n_boot, n)), chunked."""
-    v = values[~np.isnan(values)]
-    if v.size == 0:
-        return None, None
-    rng = np.random.default_rng(seed)
-    means = np.empty(n_boot)
-    for s in range(0, n_boot, _REPLICATE_CHUNK):
-        k = min(_REPLICATE_CHUNK, n_boot - s)
-        means[s:s + k] = rng.choice(v, size=(k, v.size), replace=True).mean(axis=1)
-    return float(np.quantile(means, alpha / 2)), float(np.quantile(means, 1 - alpha / 2))
-
-
-def _bucket_sums(x: np.ndarray, rid: np.ndarray, n_boot: int, seed: int) -> tuple[list, list]:
-    ok = ~np.isnan(x)
-    x, rid = x[ok], rid[ok]
-    swx = np.zeros(n_boot)
-    sw = np.zeros(n_boot)
-    reps = np.arange(n_boot, dtype=np.uint64)
-    for s in range(0, x.size, _POISSON_ROWS):
-        w = poisson_weights(rid[s:s + _POISSON_ROWS], reps, seed)
-        swx += x[s:s + _POISSON_ROWS] @ w
-        sw += w.sum(axis=0)
-    return swx.tolist(), sw.tolist()
-
-
-def bootstrap_ci(df: DataFrame, by: list[str], metrics: list[str], n_boot: int = 2000,
-                 alpha: float = 0.05, seed: int = 42, id_col: str | None = None,
-                 order_by: list[str] | None = None, exact_max: int = EXACT_MAX) -> DataFrame:
-    """Per group of ``by``: ``<metric>_ci_lo`` / ``<metric>_ci_hi`` for each metric."""
-    key_fields = [df.schema[k] for k in by]
-    rid = F.xxhash64(F.col(id_col)) if id_col else F.xxhash64(*[F.col(c) for c in df.columns])
-    order = list(order_by or [])
-    base = df.select(*by, *[F.col(m).cast("double").alias(m) for m in metrics], rid.alias("_rid"),
-                     *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    # large groups: at most count(df) / exact_max rows, so the broadcast is bounded
-    large = (base.groupBy(*by).count().where(F.col("count") > exact_max)
-             .select(*[F.col(k).alias(f"_k_{k}") for k in by],
-                     F.ceil(F.col("count") / F.lit(exact_max)).alias("_nsalt")))
-    cond = F.lit(True)
-    for k in by:
-        cond = cond & base[k].eqNullSafe(large[f"_k_{k}"])
-    tagged = base.join(F.broadcast(large), cond, "left")
-    tagged = tagged.withColumn(
-        "_salt", F.when(F.col("_nsalt").isNull(), F.lit(-1)).otherwise(F.pmod(F.col("_rid"), F.col("_nsalt"))))
-    tagged = tagged.drop("_nsalt", *[f"_k_{k}" for k in by])
-
-    fields = list(key_fields) + [T.StructField("_salt", T.LongType())]
-    for m in metrics:
-        fields += [T.StructField(f"{m}_ci_lo", T.DoubleType()), T.StructField(f"{m}_ci_hi", T.DoubleType()),
-                   T.StructField(f"_{m}_swx", T.ArrayType(T.DoubleType())),
-                   T.StructField(f"_{m}_sw", T.ArrayType(T.DoubleType()))]
-    schema = T.StructType(fields)
-    ocols = [f"_o{i}" for i in range(len(order))] + ["_rid"]
-
-    def per_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = {k: pdf[k].iloc[0] for k in by}
-        salt = int(pdf["_salt"].iloc[0])
-        row["_salt"] = salt
-        # a fixed row order makes every float sum independent of partitioning
-        pdf = pdf.sort_values(ocols if salt < 0 else ["_rid"], kind="mergesort")
-        rids = pdf["_rid"].to_numpy().astype(np.int64).view(np.uint64)
-        for m in metrics:
-            x = pdf[m].to_numpy(dtype=np.float64, na_value=np.nan)
-            if salt < 0:
-                row[f"{m}_ci_lo"], row[f"{m}_ci_hi"] = exact_ci(x, n_boot, alpha, seed)
-                row[f"_{m}_swx"] = row[f"_{m}_sw"] = None
-            else:
-                row[f"{m}_ci_lo"] = row[f"{m}_ci_hi"] = None
-                row[f"_{m}_swx"], row[f"_{m}_sw"] = _bucket_sums(x, rids, n_boot, seed)
-        return pd.DataFrame([row], columns=[f.name for f in fields])
-
-    buckets = tagged.groupBy(*by, "_salt").applyInPandas(per_bucket, schema)
-    ci_cols = [c for m in metrics for c in (f"{m}_ci_lo", f"{m}_ci_hi")]
-    exact = buckets.where(F.col("_salt") < 0).select(*by, *ci_cols)
-
-    parts = buckets.where(F.col("_salt") >= 0)
-    rep = parts.select(*by, F.posexplode(F.arrays_zip(
-        *[F.col(f"_{m}_{s}") for m in metrics for s in ("swx", "sw")])).alias("_b", "_z"))
-    # bucket sums are combined as exact decimals: associative, so retries and
-    # partitioning cannot change the last bits
-    sums = rep.groupBy(*by, "_b").agg(
-        *[F.sum(F.col("_z")[f"_{m}_{s}"].cast("decimal(38,12)")).alias(f"_{m}_{s}")
-          for m in metrics for s in ("swx", "sw")])
-    rep_means = sums.select(*by, *[F.try_divide(F.col(f"_{m}_swx").cast("double"), F.col(f"_{m}_sw").cast("double"))
-                                   .alias(m) for m in metrics])
-    poisson = rep_means.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_nrep"),
-        *[F.percentile(m, alpha / 2).alias(f"{m}_ci_lo") for m in metrics],
-        *[F.percentile(m, 1 - alpha / 2).alias(f"{m}_ci_hi") for m in metrics])
-    # a global aggregate over no large group still yields one row: drop it
-    poisson = poisson.where(F.col("_nrep") > 0).select(*by, *ci_cols)
-    return exact.unionByName(poisson)
-
-
-# ---------------------------------------------------------------- SQL-checkable form
-def _poisson_sql_weight(u: str) -> str:
-    return " + ".join(f"CASE WHEN {u} >= {c!r} THEN 1 ELSE 0 END" for c in poisson1_cdf())
-
-
-def bootstrap_ci_hash(df: DataFrame, by: list[str], metrics: list[str], id_col: str,
-                      n_boot: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Poisson bootstrap with weights from md5(id|rep|seed), SQL functions only.
-
-    Rows are expanded by the replicate number inside the scan stage; the
-    weighted sums are partially aggregated per (group, replicate) before the
-    shuffle, so the shuffle carries groups x replicates, not rows x
-    replicates.  Sums are exact decimals, so results are independent of
-    partitioning.
+PRIME = (1 << 31) - 1
+#: Multipliers of the hash: first id, each further id, replicate; and what is added between the two rounds.
+FIRST, NEXT, REPLICATE, BETWEEN = 48_271, 69_621, 40_692, 1_000_003
+UNIT = 1_000_000_000
+N_BOOT, ALPHA, SEED = 2_000, 0.05, 42
+#: Rows whose weights a task holds at a time, and groups whose sums it holds.
+_ROWS, _GROUPS = 256, 256
+
+
+def poisson1_thresholds(kmax: int = 12) -> list[int]:
+    """Least hash for a weight of 1, 2, ... kmax + 1: the Poisson(1) distribution function times PRIME.
+
+    A weight over kmax + 1 has a probability under 1e-11, far below one hash value.
+    """
+    return [math.ceil(PRIME * math.fsum(math.exp(-1.0) / math.factorial(i) for i in range(k + 1))) for k in range(kmax + 1)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """x^5 modulo PRIME: a permutation, since 5 does not divide PRIME - 1."""
+    y = x * x % PRIME
+    return y * y % PRIME * x % PRIME
+
+
+def poisson_weights(ids: list[np.ndarray], reps: np.ndarray, seed: int) -> np.ndarray:
+    """Weights (rows x replicates) from the ids of the rows."""
+    x = np.zeros(len(ids[0]), np.int64) + seed
+    for m, i in zip([FIRST] + [NEXT] * (len(ids) - 1), ids):
+        x = _mixed((x + i % PRIME * m) % PRIME)
+    h = _mixed((_mixed((x[:, None] + reps[None, :] * REPLICATE) % PRIME) + BETWEEN) % PRIME)
+    return np.searchsorted(poisson1_thresholds(), h, side="right").astype(np.int64)
+
+
+def _unit(m: str) -> Column:
+    return (F.col(m).try_cast("decimal(28,9)") * UNIT).cast("long")
+
+
+def bootstrap_ci(df: DataFrame, by: list[str], metrics: list[str], id_cols: list[str] | None = None,
+                 n_boot: int = N_BOOT, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
+    """Per group of ``by``: ``<metric>_ci_lo`` / ``<metric>_ci_hi`` of each metric's mean over its non-null rows.
+
+    ``id_cols``: integers that tell rows apart; without them a hash of all columns does.  Null keys are groups; a group without a value has null intervals.
     """
-    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.col("_rep").cast("string"),
-                                              F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / 4294967296.0)
-    w = F.expr(_poisson_sql_weight("_u"))
-    x = df.select(*by, *[F.col(m).cast("double").alias(m) for m in metrics], F.col(id_col),
-                  F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("_rep"))
-    x = x.withColumn("_u", u).withColumn("_w", w)
-    sums = x.groupBy(*by, "_rep").agg(
-        *[F.sum(F.when(F.col(m).isNotNull(), F.col("_w") * F.col(m).try_cast("decimal(28,9)"))).alias(f"_{m}_swx")
-          for m in metrics],
-        *[F.sum(F.when(F.col(m).isNotNull(), F.col("_w"))).alias(f"_{m}_sw") for m in metrics])
-    means = sums.select(*by, *[F.try_divide(F.col(f"_{m}_swx").cast("double"), F.col(f"_{m}_sw").cast("double"))
-                               .alias(m) for m in metrics])
-    return means.groupBy(*by).agg(
-        *[c for m in metrics for c in (F.percentile(m, alpha / 2).alias(f"{m}_ci_lo"),
-                                       F.percentile(m, 1 - alpha / 2).alias(f"{m}_ci_hi"))])
-
-
-def bootstrap_ci_hash_sql(source: str, by: list[str], metrics: list[str], id_col: str,
-                          n_boot: int = 200, alpha: float = 0.05, seed: int = 42) -> str:
-    """DuckDB twin of ``bootstrap_ci_hash`` (a SELECT over ``source``)."""
-    u = (f"(CAST(('0x' || substr(md5(CAST({id_col} AS VARCHAR) || '|' || CAST(_rep AS VARCHAR) || '|{seed}'), 1, 8))"
-         f" AS BIGINT) / 4294967296.0)")
-    k = ", ".join(by)
-    kc = (k + ", ") if by else ""
-    sums = ", ".join(
-        [f"sum(CASE WHEN {m} IS NOT NULL THEN _w * TRY_CAST({m} AS DECIMAL(28, 9)) END) AS _{m}_swx" for m in metrics]
-        + [f"sum(CASE WHEN {m} IS NOT NULL THEN _w END) AS _{m}_sw" for m in metrics])
-    means = ", ".join(f"CASE WHEN _{m}_sw = 0 THEN NULL ELSE CAST(_{m}_swx AS DOUBLE) / CAST(_{m}_sw AS DOUBLE) END AS {m}"
-                      for m in metrics)
-    q = ", ".join(f"quantile_cont({m}, {alpha / 2}) AS {m}_ci_lo, quantile_cont({m}, {1 - alpha / 2}) AS {m}_ci_hi"
-                  for m in metrics)
-    return f"""
-SELECT {kc}{q} FROM (
-  SELECT {kc}{means} FROM (
-    SELECT {kc}_rep, {sums} FROM (
-      SELECT x.*, {_poisson_sql_weight('_u')} AS _w FROM (
-        SELECT s.*, r._rep, {u} AS _u FROM {source} s, (SELECT unnest(range(1, {n_boot} + 1)) AS _rep) r
-      ) x
-    ) GROUP BY {kc}_rep
-  )
-) {('GROUP BY ' + k) if by else ''}"""
+    if not id_cols:
+        id_cols, df = ["_row"], df.withColumn("_row", F.xxhash64(*df.columns))
+    rows = df.select(*by, *[F.col(i).cast("long").alias(f"_id{k}") for k, i in enumerate(id_cols)], *[_unit(m).alias(m) for m in metrics])
+    fields = [T.StructField("_rep", T.IntegerType())] + [T.StructField(f"_{m}_{s}", T.LongType()) for m in metrics for s in ("swx", "sw")]
+    schema = T.StructType([df.schema[k] for k in by] + fields)
+    kinds = [to_arrow_type(df.schema[k].dataType) for k in by]
+    reps = np.arange(1, n_boot + 1, dtype=np.int64)
+    n_keys, n_ids = len(by), len(id_cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, s in sums.items():
+                columns = [pa.array([k] * n_boot, kind) for k, kind in zip(key, kinds)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(reps, pa.int32()), *map(pa.array, s)], schema.names)
+            sums.clear()
+
+        for b in batches:
+            keys = list(zip(*[b.column(i).to_pylist() for i in range(n_keys)])) if by else [()] * b.num_rows
+            ids = [b.column(n_keys + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(n_ids)]
+            values = [b.column(n_keys + n_ids + i) for i in range(len(metrics))]
+            there = np.array([v.is_valid().to_numpy(zero_copy_only=False) for v in values], np.int64)
+            units = np.array([v.fill_null(0).to_numpy(zero_copy_only=False) for v in values], np.int64)
+            place: dict[tuple, list[int]] = {}
+            for i, k in enumerate(keys):
+                place.setdefault(k, []).append(i)
+            for k, at in place.items():
+                if k not in sums:
+                    if len(sums) >= _GROUPS:
+                        yield from out()
+                    sums[k] = np.zeros((2 * len(metrics), n_boot), np.int64)
+                for x in range(0, len(at), _ROWS):
+                    part = np.array(at[x : x + _ROWS])
+                    w = poisson_weights([i[part] for i in ids], reps, seed)
+                    sums[k][0::2] += units[:, part] @ w
+                    sums[k][1::2] += there[:, part] @ w
+        yield from out()
+
+    parts = rows.mapInArrow(run, schema)
+    # sums of many tasks may pass 64 bits
+    total = parts.groupBy(*by, "_rep").agg(*[F.sum(F.col(f.name).cast("decimal(28,0)")).alias(f.name) for f in fields[1:]])
+    means = total.select(*by, *[F.try_divide(F.col(f"_{m}_swx").cast("double"), F.col(f"_{m}_sw").cast("double") * UNIT).alias(m) for m in metrics])
+    ci = means.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[
+        F.percentile(m, p).alias(f"{m}_ci_{end}") for m in metrics for end, p in (("lo", alpha / 2), ("hi", 1 - alpha / 2))])
+    return ci.drop("_n")
+
+
+def bootstrap_ci_sql(source: str, by: list[str], metrics: list[str], id_cols: list[str], n_boot: int = N_BOOT,
+                     alpha: float = ALPHA, seed: int = SEED) -> str:
+    """DuckDB twin of ``bootstrap_ci`` (a SELECT over ``source``)."""
+    p = PRIME
+
+    def fifth(x: str) -> str:
+        return f"((({x} * {x}) % {p}) * (({x} * {x}) % {p}) % {p} * {x} % {p})"
+
+    steps, last = [], str(seed)
+    for k, i in enumerate(id_cols):
+        steps.append((f"_h{k}", f"({last} + ({i} % {p}) * {NEXT if k else FIRST}) % {p}"))
+        last = fifth(f"_h{k}")
+    chain = f"SELECT * FROM {source}"
+    for name, value in steps:
+        chain = f"SELECT *, CAST({value} AS BIGINT) AS {name} FROM ({chain})"
+    chain = f"SELECT *, CAST({last} AS BIGINT) AS _x FROM ({chain})"
+    chain = f"SELECT s.*, r._rep, CAST((_x + r._rep * {REPLICATE}) % {p} AS BIGINT) AS _y FROM ({chain}) s, (SELECT unnest(range(1, {n_boot} + 1)) AS _rep) r"
+    chain = f"SELECT *, CAST(({fifth('_y')} + {BETWEEN}) % {p} AS BIGINT) AS _z FROM ({chain})"
+    weight = " + ".join(f"CAST(_u >= {t} AS INTEGER)" for t in poisson1_thresholds())
+    chain = f"SELECT *, {weight} AS _w FROM (SELECT *, {fifth('_z')} AS _u FROM ({chain}))"
+    keys = "".join(k + ", " for k in by)
+    sums = ", ".join(f"sum(_w * TRY_CAST({m} AS DECIMAL(28, 9))) AS _{m}_swx, sum(CASE WHEN {m} IS NOT NULL THEN _w END) AS _{m}_sw" for m in metrics)
+    means = ", ".join(f"CASE WHEN _{m}_sw = 0 THEN NULL ELSE CAST(_{m}_swx AS DOUBLE) / CAST(_{m}_sw AS DOUBLE) END AS {m}" for m in metrics)
+    ends = ", ".join(f"quantile_cont({m}, {alpha / 2}) AS {m}_ci_lo, quantile_cont({m}, {1 - alpha / 2}) AS {m}_ci_hi" for m in metrics)
+    group = "GROUP BY " + ", ".join(by) if by else ""
+    return f"SELECT {keys}{ends} FROM (SELECT {keys}{means} FROM (SELECT {keys}_rep, {sums} FROM ({chain}) GROUP BY {keys}_rep)) {group}"

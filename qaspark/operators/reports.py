@@ -8,7 +8,6 @@ original (``dropna=False``).  Bootstrap intervals come from
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,7 +77,8 @@ def exact_mean(c) -> Column:
     """Mean summed in decimal: associative, so the result does not depend on
     partitioning or task order (double sums do, in the last bits)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.avg(c.try_cast(MEAN_DECIMAL)).cast("double")
+    v = c.try_cast(MEAN_DECIMAL)
+    return F.try_divide(F.sum(v).cast("double"), F.count(v))
 
 
 def _mean_or_null(df: DataFrame, src: str) -> Column:
@@ -95,9 +95,7 @@ def agg_means(scored: DataFrame, by: list[str], spec=MEAN_SPEC) -> DataFrame:
     return scored.groupBy(*by).agg(*mean_exprs(scored, spec))
 
 
-def agg_with_ci(scored: DataFrame, by: list[str], n_boot: int = 2000, alpha: float = 0.05,
-                seed: int = 42, id_col: str | None = None, order_by: list[str] | None = None,
-                exact_max: int | None = None) -> DataFrame:
+def agg_with_ci(scored: DataFrame, by: list[str], id_cols: list[str] | None = None, **ci_kw) -> DataFrame:
     """A1 + A2: means joined to the bootstrap intervals of EM, F1, ROUGE_L.
 
     The narrow columns the two aggregates need (keys, metrics, ids - no
@@ -105,17 +103,12 @@ def agg_with_ci(scored: DataFrame, by: list[str], n_boot: int = 2000, alpha: flo
     """
     from .bootstrap import bootstrap_ci
     from .partitioning import materialize
-    need = list(dict.fromkeys(list(by) + ["question"] + [s for _, s in MEAN_SPEC]
-                              + ([id_col] if id_col else []) + list(order_by or [])))
+    need = list(dict.fromkeys([*by, "question", *[s for _, s in MEAN_SPEC], *(id_cols or [])]))
     # the question text only feeds count(question): keep a flag instead
     scored = materialize(scored.select(*[F.col(c).isNotNull().alias(c) if c == "question" else F.col(c)
                                          for c in need if c in scored.columns]))
     scored = scored.withColumn("question", F.when(F.col("question"), F.lit("q")))
-    means = agg_means(scored, by)
-    kw = {} if exact_max is None else {"exact_max": exact_max}
-    cis = bootstrap_ci(scored, by, CI_METRICS, n_boot=n_boot, alpha=alpha, seed=seed,
-                       id_col=id_col, order_by=order_by, **kw)
-    return join_on_keys(means, cis, by)
+    return join_on_keys(agg_means(scored, by), bootstrap_ci(scored, by, CI_METRICS, id_cols, **ci_kw), by)
 
 
 def join_on_keys(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
@@ -137,7 +130,7 @@ def report_keysets(columns: list[str]) -> dict[str, list[str]]:
 
 
 def report_family_means(scored: DataFrame, keysets: dict[str, list[str]] | None = None) -> DataFrame:
-    """A3 in one pass: GROUPING SETS over every key set (one scan, one shuffle).
+    """A3 in one pass over the scored rows: GROUPING SETS over every key set.
 
     Returns a long table with ``report`` naming the key set; split it with
     ``split_family``.
@@ -148,18 +141,15 @@ def report_family_means(scored: DataFrame, keysets: dict[str, list[str]] | None
         uniq.setdefault(tuple(keys), []).append(name)
     # grouping_id takes the keys in their order of first appearance
     all_keys = list(dict.fromkeys(k for ks in uniq for k in ks))
-    view = f"_qaspark_scored_{uuid.uuid4().hex}"   # unique: concurrent callers never clash
-    scored.createOrReplaceTempView(view)
-    sets = ", ".join("(" + ", ".join(ks) + ")" for ks in uniq)
-    aggs = ", ".join(
-        ["count(question) AS n"]
-        + [(f"CAST(avg(try_cast({src} AS {MEAN_DECIMAL})) AS DOUBLE) AS {name}" if src in scored.columns
-            else f"CAST(NULL AS DOUBLE) AS {name}")
-           for name, src in MEAN_SPEC])
-    gid = f"grouping_id({', '.join(all_keys)})"
-    fam = scored.sparkSession.sql(
-        f"SELECT {', '.join(all_keys)}, {gid} AS _gid, {aggs} FROM {view} "
-        f"GROUP BY GROUPING SETS ({sets})")
+    # sums and counts at the finest key set first: what the key sets multiply is that small table, without any text
+    metrics = [(name, src) for name, src in MEAN_SPEC if src in scored.columns]
+    value = {name: F.col(src).try_cast(MEAN_DECIMAL) for name, src in metrics}
+    fine = scored.groupBy(*all_keys).agg(F.count("question").alias("n"), *[
+        c for name, _ in metrics for c in (F.sum(value[name]).alias(f"_s_{name}"), F.count(value[name]).alias(f"_n_{name}"))])
+    fam = fine.groupingSets([[F.col(k) for k in ks] for ks in uniq], *[F.col(k) for k in all_keys]).agg(
+        F.grouping_id(*all_keys).alias("_gid"), F.sum("n").alias("n"),
+        *[F.try_divide(F.sum(f"_s_{name}").cast("double"), F.sum(f"_n_{name}")).alias(name) for name, _ in metrics])
+    fam = fam.select(*all_keys, "_gid", "n", *[F.col(name) if src in scored.columns else F.lit(None).cast("double").alias(name) for name, src in MEAN_SPEC])
     # map grouping ids to report names (bit i set = key i not grouped)
     rows = []
     for ks, names in uniq.items():
@@ -227,9 +217,17 @@ def lang_llm_emb_table(scored: DataFrame, with_ci: bool = False, **ci_kw) -> Dat
     return agg_with_ci(d, by, **ci_kw) if with_ci else agg_means(d, by)
 
 
+#: Means are compared at full precision but for the last digits, in which engines differ by the order of a division.
+RANK_DIGITS = 12
+
+
+def _rank(mean: str) -> Column:
+    return F.round(mean, RANK_DIGITS).desc_nulls_last()
+
+
 def leaderboard(table: DataFrame, n: int = 15) -> DataFrame:
-    """O1: ROUGE_L desc, EM desc, explicit key tie-break, first n (TakeOrderedAndProject)."""
-    return table.orderBy(F.col("ROUGE_L_mean").desc_nulls_last(), F.col("EM_mean").desc_nulls_last(),
+    """O1: ROUGE_L desc, EM desc, explicit key tie-break, first n (TakeOrderedAndProject); see RANK_DIGITS."""
+    return table.orderBy(_rank("ROUGE_L_mean"), _rank("EM_mean"),
                          F.col("language").asc_nulls_first(), F.col("llm").asc_nulls_first(),
                          F.col("embedding").asc_nulls_first()).limit(n)
 
@@ -237,7 +235,7 @@ def leaderboard(table: DataFrame, n: int = 15) -> DataFrame:
 def best_per_language(table: DataFrame) -> DataFrame:
     """Per language, the configuration with the best ROUGE_L then EM."""
     w = Window.partitionBy("language").orderBy(
-        F.col("ROUGE_L_mean").desc_nulls_last(), F.col("EM_mean").desc_nulls_last(),
+        _rank("ROUGE_L_mean"), _rank("EM_mean"),
         F.col("llm").asc_nulls_first(), F.col("embedding").asc_nulls_first())
     return table.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 

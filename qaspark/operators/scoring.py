@@ -25,8 +25,7 @@ LATENCY_COLUMNS = ["latency_total_ms", "latency_retrieval_ms", "latency_generati
 METRIC_COLUMNS = ["EM", "F1", "ROUGE_L", "LEV_SIM", "ACC_rouge70", "ACC_lev80"]
 
 
-def add_text_scores(df: DataFrame, pred: str = "predicted_answer", gold: str = "gold_answer",
-                    lev_jaccard_cutoff: int | None = None) -> DataFrame:
+def add_text_scores(df: DataFrame, pred: str = "predicted_answer", gold: str = "gold_answer") -> DataFrame:
     """EM, F1, ROUGE_L, LEV_SIM (each the best over references) and the soft accuracies."""
     keep = [F.col(c) for c in df.columns]
     d = df.select(*keep, tx.normalize_text(pred).alias("_pred_n"),
@@ -34,22 +33,13 @@ def add_text_scores(df: DataFrame, pred: str = "predicted_answer", gold: str = "
     d = d.select(*keep, "_pred_n", "_refs_n",
                  tx.best_of_refs("_pred_n", "_refs_n", tx.exact_match_norm).alias("EM"),
                  tx.pair_scores("_pred_n", "_refs_n").alias("_s"))
-    if lev_jaccard_cutoff is None:
-        lev = F.col("_s.LEV_SIM")
-    else:
-        # T8 (opt-in): token Jaccard instead of Levenshtein for large products
-        def scorer(a, b):
-            big = (F.length(a) * F.length(b)) > lev_jaccard_cutoff
-            both = (F.length(a) > 0) & (F.length(b) > 0)
-            return F.when(both & big, tx.jaccard_tokens_norm(a, b)).otherwise(tx.lev_similarity_norm(a, b))
-        lev = tx.best_of_refs("_pred_n", "_refs_n", scorer)
-    d = d.select(*keep, "EM", F.col("_s.F1").alias("F1"), F.col("_s.ROUGE_L").alias("ROUGE_L"), lev.alias("LEV_SIM"))
+    d = d.select(*keep, "EM", F.col("_s.F1").alias("F1"), F.col("_s.ROUGE_L").alias("ROUGE_L"), F.col("_s.LEV_SIM").alias("LEV_SIM"))
     return d.select(*keep, "EM", "F1", "ROUGE_L", "LEV_SIM",
                     (F.col("ROUGE_L") >= tx.ROUGE_ACC_THRESHOLD).cast("int").alias("ACC_rouge70"),
                     (F.col("LEV_SIM") >= tx.LEV_ACC_THRESHOLD).cast("int").alias("ACC_lev80"))
 
 
-def score_pairs(df: DataFrame, derive_tps: bool = True, lev_jaccard_cutoff: int | None = None) -> DataFrame:
+def score_pairs(df: DataFrame, derive_tps: bool = True) -> DataFrame:
     """build_metrics: numeric coercion, seconds, lengths, text scores, tps fallback."""
     types = dict(df.dtypes)
     d = spread_for_python(df)
@@ -62,7 +52,7 @@ def score_pairs(df: DataFrame, derive_tps: bool = True, lev_jaccard_cutoff: int
     cols += [tx.token_len("question").alias("q_len"), tx.token_len("gold_answer").alias("gold_len"),
              tx.token_len("predicted_answer").alias("pred_len")]
     d = d.select(*cols)
-    d = add_text_scores(d, lev_jaccard_cutoff=lev_jaccard_cutoff)
+    d = add_text_scores(d)
     if derive_tps and "completion_tokens" in types and "latency_generation_ms" in types:
         derived = F.try_divide(F.col("completion_tokens"), F.col("latency_generation_s"))
         if "tokens_per_sec" not in types:

@@ -35,7 +35,7 @@ def question_key(df: DataFrame, order_by: list[str] | None = None) -> tuple[Data
 
 
 def analyse(run_log: DataFrame, out_dir: str | None = None, with_ci: bool = True, n_boot: int = 2000,
-            seed: int = 42, id_col: str | None = None, order_by: list[str] | None = None,
+            seed: int = 42, id_cols: list[str] | None = None, order_by: list[str] | None = None,
             fmt: str = "parquet") -> dict[str, DataFrame]:
     scored = score_pairs(run_log)
     scored, qkey = question_key(scored, order_by)
@@ -49,7 +49,7 @@ def analyse(run_log: DataFrame, out_dir: str | None = None, with_ci: bool = True
         keysets["by_question_lang_embedding"] = [qkey, "language", "embedding"]
     family = materialize(rp.report_family_means(narrow, keysets))
     tables = rp.split_family(family, keysets)
-    ci_kw = dict(n_boot=n_boot, seed=seed, id_col=id_col, order_by=order_by)
+    ci_kw = dict(n_boot=n_boot, seed=seed, id_cols=id_cols)
     if with_ci:
         from ..operators.bootstrap import bootstrap_ci
         tables = {name: rp.join_on_keys(t, bootstrap_ci(narrow, keysets[name], rp.CI_METRICS, **ci_kw),

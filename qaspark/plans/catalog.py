@@ -31,7 +31,13 @@ def register(name: str, sql: str | None = None):
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_pairs(run_log(spark, sf_dir))
+    # the run log always has tokens_per_sec: no test whether the whole column is null
+    return score_pairs(run_log(spark, sf_dir), derive_tps=False)
+
+
+def scored_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1 first: only the pairs of the chosen top_k are scored."""
+    return score_pairs(rp.topk_filter(run_log(spark, sf_dir)), derive_tps=False)
 
 
 def _r(x: str, digits: int = 6) -> str:
@@ -69,8 +75,8 @@ def q_score_pairs(spark, sf):
 
 
 # ---------------------------------------------------------------- reports (A1/A3)
-def _means_sql(keys: list[str], source: str = "scored", where: str = "") -> str:
-    aggs = ["count(question) AS n"] + [f"{_r(_avg(src))} AS {name}" for name, src in rp.MEAN_SPEC]
+def _means_sql(keys: list[str], source: str = "scored", where: str = "", raw: bool = False) -> str:
+    aggs = ["count(question) AS n"] + [f"{_avg(src) if raw else _r(_avg(src))} AS {name}" for name, src in rp.MEAN_SPEC]
     k = ", ".join(keys)
     return f"SELECT {k}, {', '.join(aggs)} FROM {source} {where} GROUP BY {k}"
 
@@ -144,26 +150,30 @@ _LLE = ["language", "llm", "embedding"]
 
 @register("lang_llm_emb_topk3", with_run_log(scored_ctes()) + " " + _means_sql(_LLE, where=_TOPK_WHERE))
 def q_lang_llm_emb(spark, sf):
-    return rp.round_doubles(rp.lang_llm_emb_table(scored(spark, sf)))
+    return rp.round_doubles(rp.agg_means(scored_top_k(spark, sf), _LLE))
 
 
 def _ranked_sql(outer: str) -> str:
-    return (with_run_log(scored_ctes(), f"t AS ({_means_sql(_LLE, where=_TOPK_WHERE)})") + " " + outer)
+    """Rank the means as they are, round last."""
+    means = ", ".join(f"{_r(name)} AS {name}" for name, _ in rp.MEAN_SPEC)
+    return (with_run_log(scored_ctes(), f"t AS ({_means_sql(_LLE, where=_TOPK_WHERE, raw=True)})")
+            + f" SELECT {', '.join(_LLE)}, n, {means} FROM ({outer})")
+
+
+_RANK = ", ".join(f"round({m}, {rp.RANK_DIGITS}) DESC NULLS LAST" for m in ("ROUGE_L_mean", "EM_mean"))
 
 
 @register("leaderboard_top15", _ranked_sql(
-    "SELECT * FROM t ORDER BY ROUGE_L_mean DESC NULLS LAST, EM_mean DESC NULLS LAST, "
-    "language ASC NULLS FIRST, llm ASC NULLS FIRST, embedding ASC NULLS FIRST LIMIT 15"))
+    f"SELECT * FROM t ORDER BY {_RANK}, language ASC NULLS FIRST, llm ASC NULLS FIRST, embedding ASC NULLS FIRST LIMIT 15"))
 def q_leaderboard(spark, sf):
-    return rp.leaderboard(rp.round_doubles(rp.lang_llm_emb_table(scored(spark, sf))))
+    return rp.round_doubles(rp.leaderboard(rp.agg_means(scored_top_k(spark, sf), _LLE)))
 
 
 @register("best_per_language", _ranked_sql(
-    "SELECT * EXCLUDE (_rn) FROM (SELECT t.*, row_number() OVER (PARTITION BY language ORDER BY "
-    "ROUGE_L_mean DESC NULLS LAST, EM_mean DESC NULLS LAST, llm ASC NULLS FIRST, embedding ASC NULLS FIRST) AS _rn "
-    "FROM t) WHERE _rn = 1"))
+    f"SELECT * EXCLUDE (_rn) FROM (SELECT t.*, row_number() OVER (PARTITION BY language ORDER BY {_RANK}, "
+    "llm ASC NULLS FIRST, embedding ASC NULLS FIRST) AS _rn FROM t) WHERE _rn = 1"))
 def q_best_per_language(spark, sf):
-    return rp.best_per_language(rp.round_doubles(rp.lang_llm_emb_table(scored(spark, sf))))
+    return rp.round_doubles(rp.best_per_language(rp.agg_means(scored_top_k(spark, sf), _LLE)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -3,40 +3,48 @@
 from __future__ import annotations
 
 from ..operators import reports as rp
-from ..operators.bootstrap import bootstrap_ci_hash, bootstrap_ci_hash_sql
+from ..operators.bootstrap import bootstrap_ci, bootstrap_ci_sql
 from ..operators.partitioning import spread_for_python
-from .catalog import _r, register, scored
+from .catalog import _means_sql, _r, register, scored
 from .oracle import scored_ctes, with_run_log
 
 # ---------------------------------------------------------------- A2 bootstrap
 
 
-@register("report_by_llm_with_ci")
-def q_report_by_llm_with_ci(spark, sf):
-    """A1 + A2 (exact resampling per group; numpy generator, no SQL twin)."""
-    return rp.round_doubles(rp.agg_with_ci(scored(spark, sf), ["llm"], id_col="pair_id", order_by=["pair_id"]))
+#: What tells the pairs of the run log apart.
+PAIR = ["conv_id", "turn"]
 
 
-@register("report_by_answer_lang_with_ci")
-def q_report_by_answer_lang_with_ci(spark, sf):
-    return rp.round_doubles(rp.agg_with_ci(scored(spark, sf), ["language"], id_col="pair_id", order_by=["pair_id"]))
+def _boot_sql(by):
+    cols = by + [f"{_r(c)} AS {c}" for m in rp.CI_METRICS for c in (f"{m}_ci_lo", f"{m}_ci_hi")]
+    return with_run_log(scored_ctes(), f"ci AS ({bootstrap_ci_sql('scored', by, rp.CI_METRICS, PAIR)})") + " SELECT " + ", ".join(cols) + " FROM ci"
 
 
-def _boot_hash_sql(by):
-    inner = bootstrap_ci_hash_sql("scored", by, rp.CI_METRICS, "pair_id")
-    cols = by + [f"{_r(c)} AS {c}" for m in rp.CI_METRICS for c in (f"{m}_ci_lo", f"{m}_ci_hi")]
-    return with_run_log(scored_ctes(), f"ci AS ({inner})") + " SELECT " + ", ".join(cols) + " FROM ci"
+@register("bootstrap_ci_hash_by_llm", _boot_sql(["llm"]))
+def q_boot_llm(spark, sf):
+    return rp.round_doubles(bootstrap_ci(scored(spark, sf), ["llm"], rp.CI_METRICS, PAIR))
+
+
+@register("bootstrap_ci_hash_by_language_embedding", _boot_sql(["language", "embedding"]))
+def q_boot_lang_emb(spark, sf):
+    return rp.round_doubles(bootstrap_ci(scored(spark, sf), ["language", "embedding"], rp.CI_METRICS, PAIR))
+
+
+def _full_report_sql(by):
+    """A1 + A2 + J5: means joined (null-safe) to the intervals."""
+    ci_cols = [f"{_r('c.' + c)} AS {c}" for m in rp.CI_METRICS for c in (f"{m}_ci_lo", f"{m}_ci_hi")]
+    on = " AND ".join(f"m.{k} IS NOT DISTINCT FROM c.{k}" for k in by)
+    return (with_run_log(scored_ctes(), f"ci AS ({bootstrap_ci_sql('scored', by, rp.CI_METRICS, PAIR)})", f"means AS ({_means_sql(by)})")
+            + f" SELECT m.*, {', '.join(ci_cols)} FROM means m LEFT JOIN ci c ON {on}")
 
 
-@register("bootstrap_ci_hash_by_llm", _boot_hash_sql(["llm"]))
-def q_boot_hash_llm(spark, sf):
-    return rp.round_doubles(bootstrap_ci_hash(scored(spark, sf), ["llm"], rp.CI_METRICS, "pair_id"))
+def _full_report(by):
+    return lambda spark, sf: rp.round_doubles(rp.agg_with_ci(scored(spark, sf), by, PAIR))
 
 
-@register("bootstrap_ci_hash_by_language_embedding", _boot_hash_sql(["language", "embedding"]))
-def q_boot_hash_lang_emb(spark, sf):
-    return rp.round_doubles(bootstrap_ci_hash(scored(spark, sf), ["language", "embedding"], rp.CI_METRICS,
-                                              "pair_id"))
+register("report_by_llm_with_ci", _full_report_sql(["llm"]))(_full_report(["llm"]))
+register("report_by_answer_lang_with_ci", _full_report_sql(["language"]))(_full_report(["language"]))
+register("report_by_answer_lang_with_ci_hash", _full_report_sql(["language"]))(_full_report(["language"]))
 
 # ---------------------------------------------------------------- J3 / W4 / G4 retrieval
 from ..operators import retrieval as rt  # noqa: E402
@@ -346,8 +354,8 @@ def q_config_grid(spark, sf):
     return _grid(spark, sf)
 
 
-@register("grid_x_gold", _GRID_SQL + """ SELECT r.language, g.embedding, g.llm, g.top_k, r.pair_id, r.q_index10
-  FROM run_log r JOIN grid g ON g.language = r.language""")
+@register("grid_x_gold", _GRID_SQL + f""" SELECT g.language, g.embedding, g.llm, g.top_k, r.pair_id, r.q_index10
+  FROM run_log r JOIN grid g ON g.language = coalesce(nullif(r.language, ''), '{gd.DEFAULT_LANGUAGE}')""")
 def q_grid_x_gold(spark, sf):
     gold = run_log(spark, sf).select("language", "pair_id", "q_index10")
     return gd.grid_x_gold(gold, _grid(spark, sf)).select("language", "embedding", "llm", "top_k", "pair_id",
@@ -562,22 +570,3 @@ HAVING count(*) / n_item_shingles >= 0.5""")
 def q_contamination(spark, sf):
     return rp.round_doubles(contamination(spread_for_python(table(spark, sf, "documents")),
                                           table(spark, sf, "benchmark")))
-
-
-# ---------------------------------------------------------------- A1 + A2 (hash form) + J5: a full report with a twin
-def _full_report_sql(by):
-    from .catalog import _means_sql
-    inner = bootstrap_ci_hash_sql("scored", by, rp.CI_METRICS, "pair_id")
-    ci_cols = [f"{_r('c.' + c)} AS {c}" for m in rp.CI_METRICS for c in (f"{m}_ci_lo", f"{m}_ci_hi")]
-    on = " AND ".join(f"m.{k} IS NOT DISTINCT FROM c.{k}" for k in by)
-    return (with_run_log(scored_ctes(), f"ci AS ({inner})", f"means AS ({_means_sql(by)})")
-            + f" SELECT m.*, {', '.join(ci_cols)} FROM means m LEFT JOIN ci c ON {on}")
-
-
-@register("report_by_answer_lang_with_ci_hash", _full_report_sql(["language"]))
-def q_report_lang_ci_hash(spark, sf):
-    """The by-language report: means joined (null-safe, J5) to the hash-bootstrap intervals."""
-    d = scored(spark, sf)
-    means = rp.agg_means(d, ["language"])
-    cis = bootstrap_ci_hash(d, ["language"], rp.CI_METRICS, "pair_id")
-    return rp.round_doubles(rp.join_on_keys(means, cis, ["language"]))

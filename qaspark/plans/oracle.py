@@ -41,10 +41,7 @@ def f1_tokens(pt: str, rt: str) -> str:
     """Token F1 of two token lists (multiset overlap)."""
     common = (f"coalesce(list_sum(list_transform(list_distinct({pt}), lambda _u: least("
               f"len(list_filter({pt}, lambda _y: _y = _u)), len(list_filter({rt}, lambda _y: _y = _u))))), 0)")
-    return (f"(CASE WHEN len({pt}) = 0 AND len({rt}) = 0 THEN 1.0 "
-            f"WHEN len({pt}) = 0 OR len({rt}) = 0 THEN 0.0 "
-            f"ELSE (SELECT CASE WHEN _c = 0 THEN 0.0 ELSE 2 * (_c / len({pt})) * (_c / len({rt})) "
-            f"/ ((_c / len({pt})) + (_c / len({rt}))) END FROM (SELECT {common} AS _c)) END)")
+    return f"(CASE WHEN len({pt}) + len({rt}) = 0 THEN 1.0 ELSE 2.0 * {common} / (len({pt}) + len({rt})) END)"
 
 
 def lev_sim(a: str, b: str) -> str:
@@ -101,10 +98,7 @@ lcs_b AS (
 
 
 def rouge_from(pt: str, rt: str, lcs: str) -> str:
-    return (f"(CASE WHEN len({pt}) = 0 AND len({rt}) = 0 THEN 1.0 "
-            f"WHEN len({pt}) = 0 OR len({rt}) = 0 THEN 0.0 "
-            f"WHEN coalesce({lcs}, 0) = 0 THEN 0.0 "
-            f"ELSE 2 * ({lcs} / len({pt})) * ({lcs} / len({rt})) / (({lcs} / len({pt})) + ({lcs} / len({rt}))) END)")
+    return f"(CASE WHEN len({pt}) + len({rt}) = 0 THEN 1.0 ELSE 2.0 * coalesce({lcs}, 0) / (len({pt}) + len({rt})) END)"
 
 
 def scored_ctes(source: str = "run_log", key: str = "pair_id", with_rouge: bool = True,

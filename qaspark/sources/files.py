@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.responses import parse_json_strict
-from ..operators.audit import norm_col_expr
+from ..functions.columns import norm_col_expr
 
 DELIMITED_GLOB = "*.{csv,tsv}"
 JSONL_GLOB = "*.{jsonl,ndjson}"

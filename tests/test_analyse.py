@@ -12,7 +12,7 @@ from qaspark.plans.run_log import run_log
 
 def test_analyse_writes_every_report(spark):
     out = tempfile.mkdtemp(prefix="qaspark-reports-")
-    tables = analyse(run_log(spark, SF_MID), out, n_boot=200, id_col="pair_id", order_by=["pair_id"])
+    tables = analyse(run_log(spark, SF_MID), out, n_boot=200, id_cols=["conv_id", "turn"], order_by=["pair_id"])
     for name in ["by_llm", "by_answer_lang", "by_db_answer_llm_emb_k_qi", "leaderboard_top15",
                  "by_language_best_llm_embedding_topk3", "correlations", "by_question"]:
         assert name in tables
