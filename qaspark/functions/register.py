@@ -18,6 +18,9 @@ _NATIVE = {
                      r"trim(regexp_replace(lower(coalesce(s, '')), '[^\\p{L}\\p{N}_-]+', ' '))"),
     "qa_tokens": ("s STRING", "ARRAY<STRING>", "filter(split(qa_normalize(s), ' '), t -> t <> '')"),
     "qa_em": ("a STRING, b STRING", "INT", "CAST(qa_normalize(a) = qa_normalize(b) AS INT)"),
+    "qa_lev_sim": ("a STRING, b STRING", "DOUBLE",
+                   "coalesce(1.0 - try_divide(levenshtein(qa_normalize(a), qa_normalize(b)), "
+                   "greatest(length(qa_normalize(a)), length(qa_normalize(b)))), 1.0)"),
     "qa_jaccard": ("a STRING, b STRING", "DOUBLE",
                    "size(array_intersect(array_distinct(qa_tokens(a)), array_distinct(qa_tokens(b)))) / "
                    "greatest(size(array_union(array_distinct(qa_tokens(a)), array_distinct(qa_tokens(b)))), 1)"),

@@ -10,7 +10,8 @@ file is its first line (split 0, smallest order), found with a
 
 Delimiter: the candidate (``, ; TAB |``) occurring most often in the
 header, ties in that order, comma when none occurs.  Field count is
-quote-aware: quoted sections are masked before splitting.  Values are
+quote-aware: quoted fields are masked before splitting, and a quoted
+field may span lines (``operators.records``).  Values are
 parsed with Spark's CSV parser (``from_csv``) using the file's delimiter.
 """
 
@@ -23,12 +24,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import norm_col_expr
+from .records import DELIMITERS, by_delimiter, masked, stitch
 
-# The candidate delimiters in tie-break order, the quoted
-# field pattern (unrolled so Java's regex engine does not recurse per
-# character), and the audit's example limits.
-DELIMITERS = [",", ";", "\t", "|"]
-QUOTED = r'"[^"]*(?:""[^"]*)*"'
+# The audit's example limits.
 EXAMPLES_PER_FILE = 3
 EXAMPLE_CHARS = 200
 EXAMPLE_SEPARATOR = " || "
@@ -37,30 +35,33 @@ BOM = "﻿"
 
 def sniff_delimiter(header) -> Column:
     """Most frequent candidate in the header line (ties in list order), else ','."""
-    h = F.regexp_replace(F.col(header) if isinstance(header, str) else header, QUOTED, "")
-    counts = [F.struct((F.length(h) - F.length(F.replace(h, F.lit(d), F.lit("")))).alias("n"),
+    header = F.col(header) if isinstance(header, str) else header
+
+    def times(d: str) -> Column:
+        h = masked(header, F.lit(d))
+        return F.length(h) - F.length(F.replace(h, F.lit(d), F.lit("")))
+    counts = [F.struct(times(d).alias("n"),
                        F.lit(-i).alias("p"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)]
     best = F.array_max(F.array(*counts))
     return F.when(best["n"] > 0, best["d"]).otherwise(F.lit(","))
 
 
 def field_count(line, delim) -> Column:
-    """Quote-aware number of fields; an empty line has none (like csv.reader)."""
-    masked = F.regexp_replace(F.col(line) if isinstance(line, str) else line, QUOTED, "Q")
-    d = F.col(delim) if isinstance(delim, str) else delim
-    n = reduce(lambda acc, dl: acc.when(d == dl, F.size(F.split(masked, _re_escape(dl)))), DELIMITERS[1:],
-               F.when(d == DELIMITERS[0], F.size(F.split(masked, _re_escape(DELIMITERS[0])))))
-    return F.when(F.col(line) == "", F.lit(0)).otherwise(n)
-
-
-def _re_escape(d: str) -> str:
-    return {"|": r"\|", "\t": "\t"}.get(d, d)
+    """Quote-aware number of fields; an empty record has none (like csv.reader)."""
+    line = F.col(line) if isinstance(line, str) else line
+    delim = F.col(delim) if isinstance(delim, str) else delim
+    m = masked(line, delim)
+    return F.when(line == "", F.lit(0)).otherwise(by_delimiter(delim, lambda p, _: F.size(F.split(m, p))))
 
 
 def _split_fields(line: Column, delim: Column, n: int) -> Column:
-    """Fields via Spark's CSV parser (quoted fields, doubled quotes inside them)."""
+    """Fields via Spark's CSV parser (quoted fields, doubled quotes inside them).
+
+    A backslash is taken away first: before a quote it becomes a doubled quote, before anything else it goes.
+    """
+    line = F.regexp_replace(F.replace(line, F.lit('\\"'), F.lit('""')), r"\\(.)", "$1")
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max(n, 1))])
-    opts = {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE"}
+    opts = {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE", "maxCharsPerColumn": "-1", "lineSep": "\u0002"}
     out = None
     for d in DELIMITERS:
         parsed = F.from_csv(line, schema.simpleString(), {**opts, "sep": d})
@@ -99,9 +100,10 @@ def dedupe_names(names) -> Column:
 
 
 def records(lines: DataFrame, hdr: DataFrame) -> DataFrame:
-    """Data lines (header removed) with their file's delimiter and field count."""
+    """Data records (header removed) with their file's delimiter and field count; ``line`` holds the whole record."""
     # one row a file; the optimizer broadcasts it when its size allows
     r = lines.join(hdr.select("file", "delimiter", "n_header", "names", "header_ord"), "file")
+    r = stitch(r)
     r = r.where(~((F.col("blk") == 0) & (F.col("ord") == F.col("header_ord")))).drop("header_ord")
     return r.withColumn("n_fields", field_count("line", "delimiter"))
 

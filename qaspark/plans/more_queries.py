@@ -402,9 +402,10 @@ def document_files(spark, sf):
     d = table(spark, sf, "documents")
     src = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
     delim = F.element_at(F.array(*[F.lit(x) for x in au.DELIMITERS]), (F.pmod(src, F.lit(4)) + 1).cast("int"))
-    text = F.regexp_replace("text", r"[\r\n]+", " ")
-    text = F.when(F.pmod(src, F.lit(5)) == 4, text).otherwise(
-        F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"')))
+    # odd documents double a quote in a quoted text, even ones put a backslash before it
+    quote = F.when(F.pmod("doc_id", F.lit(2)) == 1, F.lit('""')).otherwise(F.lit('\\"'))
+    text = F.when(F.pmod(src, F.lit(5)) == 4, F.col("text")).otherwise(
+        F.concat(F.lit('"'), F.replace("text", F.lit('"'), quote), F.lit('"')))
     kind = F.pmod(src, F.lit(3))
     rec = F.when(kind == 1, _join(delim, F.col("doc_id").cast("string"), F.col("lang"), text,
                                   F.pmod("n_chars", F.lit(10)).cast("string"))) \
@@ -413,11 +414,13 @@ def document_files(spark, sf):
         .when(kind == 1, _join(delim, F.lit("doc_id"), F.lit("lang"), F.lit("text"), F.lit("score"))) \
         .otherwise(_join(delim, F.lit("doc_id"), F.lit("lang"), F.lit("n_chars"), F.lit("text")))
     file = F.concat(F.lit("bench_out_"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".csv"))
-    rows = d.select(file.alias("file"), F.lit(0).cast("long").alias("blk"), F.col("doc_id").alias("ord"),
-                    rec.alias("line"))
+    # physical lines, in their order within the file
+    rows = d.select(file.alias("file"), F.lit(0).cast("long").alias("blk"), "doc_id", F.posexplode(F.split(rec, "\n")).alias("i", "line"))
+    rows = rows.select("file", "blk", F.struct("doc_id", "i").alias("ord"), "line")
     heads = d.groupBy("lang", "source").agg(F.first(head).alias("line")).select(
         F.concat(F.lit("bench_out_"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".csv")).alias("file"),
-        F.lit(0).cast("long").alias("blk"), F.lit(-1).cast("long").alias("ord"), "line")
+        F.lit(0).cast("long").alias("blk"),
+        F.struct(F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("i")).alias("ord"), "line")
     return heads.unionByName(rows)
 
 
@@ -434,18 +437,21 @@ docs AS (
                       ELSE concat_ws(dl, 'doc_id', 'lang', 'n_chars', 'text') END AS line
   FROM docs
   UNION ALL
-  SELECT file, doc_id AS ord,
-         CASE WHEN src % 3 = 1 THEN concat_ws(dl, CAST(doc_id AS VARCHAR), lang, t, CAST(n_chars % 10 AS VARCHAR))
-              ELSE concat_ws(dl, CAST(doc_id AS VARCHAR), lang, CAST(n_chars AS VARCHAR), t) END AS line
-  FROM (SELECT docs.*, CASE WHEN src % 5 = 4 THEN regexp_replace(text, '[\r\n]+', ' ', 'g')
-                            ELSE '"' || replace(regexp_replace(text, '[\r\n]+', ' ', 'g'), '"', '""') || '"' END AS t
-        FROM docs)
+  -- a quoted text is one record with its line feeds; an unquoted one is a record for each of its lines
+  SELECT file, doc_id + i / 1e6 AS ord, line FROM (
+    SELECT file, doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i FROM (
+      SELECT file, doc_id, CASE WHEN src % 5 = 4 THEN string_split(rec, chr(10)) ELSE [rec] END AS parts FROM (
+        SELECT *, CASE WHEN src % 3 = 1 THEN concat_ws(dl, CAST(doc_id AS VARCHAR), lang, t, CAST(n_chars % 10 AS VARCHAR))
+                       ELSE concat_ws(dl, CAST(doc_id AS VARCHAR), lang, CAST(n_chars AS VARCHAR), t) END AS rec
+        FROM (SELECT docs.*, CASE WHEN src % 5 = 4 THEN text
+                                  ELSE '"' || replace(text, '"', CASE WHEN doc_id % 2 = 1 THEN '""' ELSE '\"' END) || '"' END AS t
+              FROM docs))))
 )"""
 
 
 def _d_fields(line: str, dl: str) -> str:
     return (f"CASE WHEN {line} = '' THEN 0 ELSE len(string_split("
-            f"regexp_replace({line}, '\"[^\"]*(?:\"\"[^\"]*)*\"', 'Q', 'g'), {dl})) END")
+            f"regexp_replace({line}, '\"[^\"\\\\]*(?:(?:\"\"|\\\\.)[^\"\\\\]*)*\"', 'Q', 'gs'), {dl})) END")
 
 
 def _d_norm(x: str) -> str:
@@ -488,9 +494,28 @@ def q_file_audit(spark, sf):
     return au.file_audit(document_files(spark, sf))
 
 
-@register("union_normalised")
+@register("union_normalised", "WITH " + _DOC_FILES_SQL + r""",
+raw AS (
+  SELECT file, src, doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS i, dl, lang, n_chars
+  FROM docs WHERE src % 5 = 4
+), unquoted AS (
+  SELECT file, src, string_split(CASE WHEN i > 1 THEN part
+                                      WHEN src % 3 = 1 THEN concat_ws(dl, CAST(doc_id AS VARCHAR), lang, part)
+                                      ELSE concat_ws(dl, CAST(doc_id AS VARCHAR), lang, CAST(n_chars AS VARCHAR), part) END
+                            || CASE WHEN src % 3 = 1 AND i = max(i) OVER (PARTITION BY file, doc_id) THEN dl || CAST(n_chars % 10 AS VARCHAR) ELSE '' END, dl) AS f
+  FROM raw
+), vals AS (
+  SELECT file, src, list_transform(f, lambda v: nullif(v, '')) AS f FROM unquoted WHERE len(f) <= 4 AND f <> ['']
+  UNION ALL
+  SELECT file, src, CASE WHEN src % 3 = 1 THEN [CAST(doc_id AS VARCHAR), lang, text, CAST(n_chars % 10 AS VARCHAR)]
+                         ELSE [CAST(doc_id AS VARCHAR), lang, CAST(n_chars AS VARCHAR), text] END
+  FROM docs WHERE src % 5 <> 4
+)
+SELECT f[1] AS doc_id, f[2] AS lang, CASE WHEN src % 3 = 1 THEN '' ELSE f[3] END AS n_chars,
+       CASE WHEN src % 3 = 1 THEN f[3] ELSE f[4] END AS text, CASE WHEN src % 3 = 1 THEN f[4] END AS score, file AS source_file
+FROM vals""")
 def q_union_normalised(spark, sf):
-    """P1-P5 + U1 over the document files (values parsed by Spark's CSV parser; rows-only check)."""
+    """P1-P5 + F5 + U1 over the document files."""
     return au.union_normalised(document_files(spark, sf)).drop("blk", "ord")
 
 
