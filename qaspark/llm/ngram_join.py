@@ -9,6 +9,8 @@ Which classes meet is exact too.  Sets of sizes a and b link only if they differ
 of one part more than that, by ranges of the hash, one part at least is equal.  A class therefore writes one signature for
 each part, at the level of its own size and the next, and linked classes share a signature.  A part holds about ten
 shingles: a frequent word or shared passage alone does not bring documents together, as it would with single shingles as keys.
+Each class first meets the least class of its signatures.  Groups of signatures that then still hold several components are compared by
+sizes and by parities (a few bytes that bound the difference from below), and only pairs that these leave possible meet in tries again.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uin
 _ODD = np.random.default_rng(12).integers(1, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)])
-SETS = "doc_id long, n long, d1 long, d2 long, signatures array<long>"
+SETS = "doc_id long, n long, d1 long, d2 long, signatures array<long>, parity binary"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -102,6 +104,38 @@ class Levels:
         return np.concatenate(out)
 
 
+def parity(s: np.ndarray, bits: int) -> np.ndarray:
+    """Bits that tell for each remainder of the hashes by ``bits`` (a power of two, 64 or more) whether an odd number has it.
+
+    Two sets' parities differ in no more bits than the sets differ in elements.
+    """
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 > 0, bitorder="little").view(np.uint64)
+
+
+def _folded(p: np.ndarray, words: int) -> np.ndarray:
+    """The parity of fewer bits."""
+    while len(p) > words:
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return p
+
+
+def possible_pairs(sizes: np.ndarray, parities: list[np.ndarray], groups: list[int], percent: int) -> list[tuple[int, int]]:
+    """Pairs from different groups that may link, by their sizes and parities; none that links is left out."""
+    out, same = [], np.array(groups)
+    words = np.array([len(p) for p in parities])
+    for w in sorted(set(words.tolist())):
+        # a set of few words against those of as many or more, folded to as many
+        at = np.flatnonzero(words >= w)
+        folded = np.stack([_folded(parities[i], w) for i in at])
+        for x in np.flatnonzero(words == w):
+            least, most = np.minimum(sizes[x], sizes[at]), np.maximum(sizes[x], sizes[at])
+            differ = np.bitwise_count(folded ^ parities[x]).sum(1, dtype=np.int64)
+            ok = (100 * least >= percent * most) & ((100 + percent) * differ <= (100 - percent) * (least + most)) & (same[at] != same[x])
+            ok &= (words[at] > w) | (at > x)
+            out += [(int(x), int(y)) for y in at[ok]]
+    return out
+
+
 class _Node:
     """A run of elements; where it ends, sets may end or branch."""
 
@@ -191,38 +225,72 @@ def _sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
             sets = shingle_sets([t or "" for t in b.column(1).to_pylist()], k)
             d = np.array([[np.add.reduce(_mix(s + _ODD[4])), np.add.reduce(_mix(s + _ODD[5]))] for s in sets], np.uint64).reshape(-1, 2)
             signatures = pa.array([levels.signatures(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0].view(np.int64)), pa.array(d[:, 1].view(np.int64)), signatures], ["doc_id", "n", "d1", "d2", "signatures"])
+            bits = [max(64, 1 << (4 * levels.parts(levels.of(len(s)))).bit_length()) if len(s) else 64 for s in sets]
+            parities = pa.array([parity(s, n).tobytes() for s, n in zip(sets, bits)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0].copy().view(np.int64)), pa.array(d[:, 1].copy().view(np.int64)), signatures, parities],
+                                             ["doc_id", "n", "d1", "d2", "signatures", "parity"])
 
     return docs.mapInArrow(run, SETS)
 
 
-def _verify(groups: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
-    """Links (a, b) found in groups (g long, block long, id long, component long) of at most a few hundred ids."""
-    ids = groups.select(F.col("id").alias("doc_id")).distinct()
-    texts = docs.join(broadcast_if_small(written(ids, "join-ids")), "doc_id", "left_semi")
+def _by_group(batches: Iterator[pa.RecordBatch], row) -> Iterator[tuple[list, list, list]]:
+    """(ids, components, values) of each group, from batches (g, block, id, component, ...) that are sorted by g and block.
+
+    ``row``: the values of a batch.
+    """
+    key, ids, components_, values = None, [], [], []
+    for b in batches:
+        for g, block, i, c, v in zip(*(b.column(x).to_pylist() for x in range(4)), row(b)):
+            if key != (g, block):
+                if ids:
+                    yield ids, components_, values
+                key, ids, components_, values = (g, block), [], [], []
+            ids.append(i)
+            components_.append(c)
+            values.append(v)
+    if ids:
+        yield ids, components_, values
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+
+def _grouped(rows: DataFrame, run) -> DataFrame:
+    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "id").mapInArrow(run, "a long, b long").where("a != b").distinct()
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) among the documents of pairs (g, id): each id meets g, and the others of its block, in a trie."""
+    blocks = pairs.groupBy("g").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("blocks"))
+    groups = (pairs.join(blocks, "g").select("g", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id")
+              .unionAll(blocks.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("g").alias("id"))))
+    groups = written(groups.select("g", "block", "id", F.col("id").alias("component")), "join-groups")
+    ids = written(groups.select(F.col("id").alias("doc_id")).distinct(), "join-ids")
+    texts = docs.join(broadcast_if_small(ids), "doc_id", "left_semi")
     rows = groups.join(texts, groups.id == texts.doc_id).select("g", "block", "id", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids_, components_, sets = None, [], [], []
+        for ids_, components_, sets in _by_group(batches, lambda b: shingle_sets([t or "" for t in b.column(4).to_pylist()], k)):
+            if len(sets) > 1:
+                yield _links([(ids_[i], ids_[j]) for i, j in trie_join(sets, components_, percent)])
 
-        def joined() -> pa.RecordBatch:
-            links = trie_join(sets, components_, percent) if len(sets) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([ids_[i] for i, _ in links], pa.int64()), pa.array([ids_[j] for _, j in links], pa.int64())], ["a", "b"])
+    return _grouped(rows, run)
 
-        for b in batches:
-            own = shingle_sets([t or "" for t in b.column(4).to_pylist()], k)
-            for g, block, i, c, s in zip(*(b.column(x).to_pylist() for x in range(4)), own):
-                if key != (g, block):
-                    if sets:
-                        yield joined()
-                    key, ids_, components_, sets = (g, block), [], [], []
-                ids_.append(i)
-                components_.append(c)
-                sets.append(s)
-        if sets:
-            yield joined()
 
-    return rows.repartition("g", "block").sortWithinPartitions("g", "block", "id").mapInArrow(run, "a long, b long").where("a != b").distinct()
+def _possible(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) in groups (g, block, id, component) that sizes and parities do not rule out; no text is moved for the others."""
+    sizes = sets.where("n > 0").select(F.col("doc_id").alias("id"), "n", "parity")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(b: pa.RecordBatch) -> list:
+            return list(zip(b.column(4).to_pylist(), b.column(5).to_pylist()))
+
+        for ids_, components_, values in _by_group(batches, row):
+            pairs = possible_pairs(np.array([v[0] for v in values]), [np.frombuffer(v[1], np.uint64) for v in values], components_, percent)
+            yield _links([(ids_[i], ids_[j]) for i, j in pairs])
+
+    return _grouped(groups.join(sizes, "id").select("g", "block", "id", "component", "n", "parity"), run)
 
 
 def join(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
@@ -242,12 +310,9 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     shared = postings.groupBy("g").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("g", "lead")
     members = written(postings.join(shared, "g").select("g", "lead", "id").distinct(), "join-members")
 
-    # first every class meets the least class that it shares a signature with, in blocks
+    # first every class meets the least class that it shares a signature with
     first = written(members.where("id != lead").groupBy("id").agg(F.min("lead").alias("g")), "join-first")
-    blocks = first.groupBy("g").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("blocks"))
-    groups = (first.join(blocks, "g").select("g", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id")
-              .unionAll(blocks.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("g").alias("id"))))
-    links = written(_verify(written(groups.select("g", "block", "id", F.col("id").alias("component")), "join-groups"), docs, percent, k), "join-links")
+    links = written(_verify(first, docs, percent, k), "join-links")
     found = written(components(links), "join-components")
 
     # then all groups that still hold several components; groups with the same members are one
@@ -260,7 +325,8 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     # a group of several blocks: each two blocks meet once, block x * blocks + y holds blocks x <= y
     pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
     rest = rest.select("g", F.explode(pair).alias("block"), "id", "component")
-    more = written(_verify(written(rest, "join-rest"), docs, percent, k), "join-more")
+    pairs = written(_possible(written(rest, "join-rest"), sets, percent), "join-possible")
+    more = written(_verify(pairs.select(F.least("a", "b").alias("g"), F.greatest("a", "b").alias("id")).distinct(), docs, percent, k), "join-more")
     found = components(links.unionAll(more)) if not more.isEmpty() else found
 
     labels = classes.join(found, classes.rep == found.id, "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
