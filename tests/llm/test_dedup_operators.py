@@ -130,7 +130,7 @@ def line_texts():
 
 def test_line_dedup(spark):
     texts = line_texts()
-    lines = [(i, n, x.translate(str.maketrans("\t\r\v\f", "    ")).strip(" ").lower()) for i, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))]
+    lines = [(i, n, x.strip(" \t\r\v\f").lower()) for i, t in enumerate(texts) if t is not None for n, x in enumerate(t.split("\n"))]
     sets = [(i, n, {k[j : j + 8] for j in range(max(1, len(k) - 7))}) for i, n, k in lines if k]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a][2] & sets[b][2]) >= 80 * len(sets[a][2] | sets[b][2])]
     label = connected(range(len(sets)), links)
