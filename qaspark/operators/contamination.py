@@ -1,8 +1,8 @@
 """U5 over tables: benchmark passages found in a corpus (contamination).
 
 An inverted-index join on word shingles: both sides are exploded to their
-distinct n-word shingles (normalised tokens, T1/T2) and equi-joined on the
-shingle, so only (document, item) pairs that share a shingle are formed -
+distinct n-word shingles (normalised tokens, T1/T2) and equi-joined on two
+independent 64-bit hashes of the shingle, so only (document, item) pairs that share a shingle are formed -
 never all pairs.  The shared-shingle count per pair is aggregated with a
 map-side combine; containment = shared / the item's shingles.  Catalyst
 broadcasts the item side only when its measured size is below the
@@ -34,7 +34,7 @@ def _exploded(df: DataFrame, id_col: str, text_col: str, n: int, with_size: bool
     # explode_outer + a filter above the generator: a plain explode makes
     # Spark infer size(_sh) > 0 and push it below the projections, which
     # re-evaluates the whole tokenisation inside the shingle lambda
-    cols = [id_col, F.explode_outer("_sh").alias("shingle")]
+    cols = [id_col, F.explode_outer(F.transform("_sh", lambda s: F.struct(F.xxhash64(s).alias("h1"), F.xxhash64(F.lit(1), s).alias("h2")))).alias("shingle")]
     if with_size:
         cols.append(F.size("_sh").alias("n_item_shingles"))
     return d.select(*cols).where(F.col("shingle").isNotNull())
@@ -44,7 +44,8 @@ def contamination(corpus: DataFrame, items: DataFrame, corpus_id: str = "doc_id"
                   text_col: str = "text", n: int = SHINGLE_WORDS, min_containment: float = 0.5) -> DataFrame:
     """(item_id, doc_id, shared, n_item_shingles, containment) with containment >= min_containment."""
     it = _exploded(items, item_id, text_col, n, True)
-    dc = _exploded(corpus, corpus_id, text_col, n, False)
+    # only shingles that some item has go on: the corpus side is filtered by the few distinct ones before it meets items
+    dc = _exploded(corpus, corpus_id, text_col, n, False).join(it.select("shingle").distinct(), "shingle", "left_semi")
     m = dc.join(it, "shingle").groupBy(item_id, corpus_id, "n_item_shingles").agg(F.count(F.lit(1)).alias("shared"))
     return (m.withColumn("containment", F.col("shared") / F.col("n_item_shingles"))
              .where(F.col("containment") >= min_containment)

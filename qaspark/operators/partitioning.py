@@ -5,80 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def estimated_partitions(df: DataFrame) -> int:
-    """Partition count of ``df`` read from its physical plan, without a job.
-
-    A shuffle-partitioned plan reports its partitioning; a plan rooted in
-    file scans has as many partitions as its largest scan (file splits are
-    computed from the listing, no data is read).  0 when unknown.
-    """
-    try:
-        plan = df._jdf.queryExecution().sparkPlan()
-        n = plan.outputPartitioning().numPartitions()
-        if n > 0:
-            return n
-        leaves = plan.collectLeaves()
-        best = 0
-        for i in range(leaves.size()):
-            leaf = leaves.apply(i)
-            try:
-                best = max(best, leaf.inputRDD().getNumPartitions())
-            except Exception:   # not a file scan
-                continue
-        return best
-    except Exception:
-        return 0
-
-
-def _is_small(df: DataFrame, target: int) -> bool:
-    """True when the inputs cannot fill ``target`` tasks on their own.
-
-    Reads the analysed plan's leaves only (no optimisation, no job): file
-    relations report their listed size, checkpointed inputs their partition
-    count.  Inputs of at least ``target x maxPartitionBytes`` are never
-    small.
-    """
-    try:
-        spark = df.sparkSession
-        max_bytes = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        total, rdd_parts = 0, 0
-        for i in range(leaves.size()):
-            leaf = leaves.apply(i)
-            name = leaf.getClass().getSimpleName()
-            if name == "LogicalRelation":
-                total += int(leaf.relation().sizeInBytes())
-            elif name == "LogicalRDD":
-                rdd_parts = max(rdd_parts, leaf.rdd().getNumPartitions())
-            else:
-                total += int(str(leaf.stats().sizeInBytes()))
-        return total < target * max_bytes and rdd_parts < target
-    except Exception:
-        return estimated_partitions(df) < target
-
-
-def spread_for_python(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Give a Python-heavy stage at least ``2 x defaultParallelism`` tasks.
-
-    Decided from the plan's input sizes (no job, no extra optimisation).
-    Large inputs already have many partitions and pass through untouched; a
-    small input (one parquet file is one task) is spread round-robin, which
-    Spark makes deterministic with a local sort so a retried task sees the
-    same rows.
-    """
-    # twice the cores: per-row cost varies (a whole document vs a sentence)
-    if min_partitions:
-        target = min_partitions
-    else:
-        try:
-            target = 2 * df.sparkSession.sparkContext.defaultParallelism
-        except Exception:   # no JVM handle (e.g. a remote session): the shuffle default
-            target = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if _is_small(df, target):
-        return df.repartition(target)
-    return df
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and cut its lineage.
 

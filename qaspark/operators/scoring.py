@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.columns import ms_to_s, safe_double
-from .partitioning import spread_for_python
 
 # Columns coerced to numbers before reporting.
 NUMERIC_COLUMNS = [
@@ -42,7 +41,7 @@ def add_text_scores(df: DataFrame, pred: str = "predicted_answer", gold: str = "
 def score_pairs(df: DataFrame, derive_tps: bool = True) -> DataFrame:
     """build_metrics: numeric coercion, seconds, lengths, text scores, tps fallback."""
     types = dict(df.dtypes)
-    d = spread_for_python(df)
+    d = df
     # one projection for the coercions, seconds and lengths; integral columns
     # stay integral (to_numeric keeps them), text and floats become doubles
     integral = {"tinyint", "smallint", "int", "bigint"}

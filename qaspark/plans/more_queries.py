@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from ..operators import reports as rp
 from ..operators.bootstrap import bootstrap_ci, bootstrap_ci_sql
-from ..operators.partitioning import spread_for_python
 from .catalog import _means_sql, _r, register, scored
 from .oracle import scored_ctes, with_run_log
 
@@ -185,8 +184,7 @@ def q_strip_reasoning(spark, sf):
 
 
 def _events(spark, sf):
-    # one small parquet file is one task; spread it (a no-op for large inputs)
-    return spread_for_python(table(spark, sf, "events"))
+    return table(spark, sf, "events")
 
 
 def _raw_grades(spark, sf):
@@ -494,7 +492,7 @@ def q_file_audit(spark, sf):
     return au.file_audit(document_files(spark, sf))
 
 
-@register("union_normalised", "WITH " + _DOC_FILES_SQL + r""",
+_UNION_SQL = "WITH " + _DOC_FILES_SQL + r""",
 raw AS (
   SELECT file, src, doc_id, unnest(string_split(text, chr(10))) AS part, generate_subscripts(string_split(text, chr(10)), 1) AS i, dl, lang, n_chars
   FROM docs WHERE src % 5 = 4
@@ -513,7 +511,10 @@ raw AS (
 )
 SELECT f[1] AS doc_id, f[2] AS lang, CASE WHEN src % 3 = 1 THEN '' ELSE f[3] END AS n_chars,
        CASE WHEN src % 3 = 1 THEN f[3] ELSE f[4] END AS text, CASE WHEN src % 3 = 1 THEN f[4] END AS score, file AS source_file
-FROM vals""")
+FROM vals"""
+
+
+@register("union_normalised", _UNION_SQL)
 def q_union_normalised(spark, sf):
     """P1-P5 + F5 + U1 over the document files."""
     return au.union_normalised(document_files(spark, sf)).drop("blk", "ord")
@@ -593,5 +594,4 @@ SELECT item_id, doc_id, count(*) AS shared, CAST(n_item_shingles AS INTEGER) AS
 FROM ds JOIN bs USING (shingle) GROUP BY item_id, doc_id, n_item_shingles
 HAVING count(*) / n_item_shingles >= 0.5""")
 def q_contamination(spark, sf):
-    return rp.round_doubles(contamination(spread_for_python(table(spark, sf, "documents")),
-                                          table(spark, sf, "benchmark")))
+    return rp.round_doubles(contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark")))

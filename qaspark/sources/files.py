@@ -19,7 +19,8 @@ DELIMITED_GLOB = "*.{csv,tsv}"
 JSONL_GLOB = "*.{jsonl,ndjson}"
 
 
-def _relative(path_col, root: str):
+def relative_path(path_col, root: str):
+    """A file's path below ``root``."""
     root = os.path.abspath(root).rstrip("/").lstrip("/")
     return F.regexp_replace(path_col, r"^(file:)?/*" + root.replace(".", r"\.") + "/", "")
 
@@ -49,7 +50,7 @@ def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclu
         return spark.createDataFrame([], "file string, blk long, ord long, line string")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     df = (reader.text(paths)
-          .select(_relative(F.col("_metadata.file_path"), root).alias("file"),
+          .select(relative_path(F.col("_metadata.file_path"), root).alias("file"),
                   F.col("_metadata.file_path").alias("_path"),
                   F.col("_metadata.file_block_start").alias("blk"),
                   F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")))
@@ -61,7 +62,7 @@ def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclu
     # one column per line: a separator and quote that never occur, the file's encoding
     redo = (spark.read.option("encoding", fallback_encoding).option("sep", "\u0001").option("quote", "\u0000")
             .option("header", "false").schema("line string").csv(bad)
-            .select(_relative(F.col("_metadata.file_path"), root).alias("file"),
+            .select(relative_path(F.col("_metadata.file_path"), root).alias("file"),
                     F.col("_metadata.file_block_start").alias("blk"),
                     F.monotonically_increasing_id().alias("ord"), F.coalesce("line", F.lit("")).alias("line")))
     return df.where(~F.col("_path").isin(bad)).drop("_path").unionByName(redo)

@@ -2,9 +2,9 @@
 
 New result files dropped into a folder are picked up by ``readStream``;
 each micro-batch holds whole files, so ``foreachBatch`` runs the same
-batch functions (normalised union and per-file audit) and appends both
-tables.  Progress is kept in the checkpoint location, so a restarted or
-retried query neither skips nor repeats a file.
+batch functions (normalised union and per-file audit).  Each batch overwrites its own
+``batch_id=N`` folder of both tables, so a batch that failed between the two writes and is replayed
+leaves no duplicates; progress is kept in the checkpoint location.
 """
 
 from __future__ import annotations
@@ -13,24 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import file_audit, union_normalised
+from ..sources.files import relative_path
 
 
 def start_ingest(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str,
-                 canonical: list[str] | None = None, glob: str = "*.{csv,tsv}", available_now: bool = True):
-    """Start the streaming ingest; returns the StreamingQuery."""
+                 canonical: list[str], glob: str = "*.{csv,tsv}", available_now: bool = True):
+    """Start the streaming ingest; returns the StreamingQuery.
+
+    Files are told apart by their path below ``input_dir``.  ``canonical``: the columns of the
+    table, the same for all batches; columns besides them are left out.
+    """
+    if not canonical:
+        raise ValueError("name the canonical columns: batches must share one schema")
     lines = (spark.readStream.format("text").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(input_dir)
-             .select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("blk"),
+             .select(relative_path(F.col("_metadata.file_path"), input_dir).alias("file"), F.col("_metadata.file_block_start").alias("blk"),
                      F.col("value").alias("line")))
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
         b = batch.withColumn("ord", F.monotonically_increasing_id())
         if b.isEmpty():
             return
-        union_normalised(b, canonical).drop("blk", "ord").withColumn("batch_id", F.lit(epoch_id)) \
-            .write.mode("append").parquet(f"{output_dir}/aggregate")
-        file_audit(b, canonical).withColumn("batch_id", F.lit(epoch_id)) \
-            .write.mode("append").parquet(f"{output_dir}/audit")
+        table = union_normalised(b, canonical)
+        table.select(*[c for c in canonical if c != "source_file"], "source_file").write.mode("overwrite").parquet(f"{output_dir}/aggregate/batch_id={epoch_id}")
+        file_audit(b, canonical).write.mode("overwrite").parquet(f"{output_dir}/audit/batch_id={epoch_id}")
 
     w = lines.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

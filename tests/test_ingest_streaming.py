@@ -85,15 +85,20 @@ def test_json_scalars_and_corrupt(spark, messy):
 def test_streaming_ingest(spark, messy):
     out = tempfile.mkdtemp(prefix="qaspark-stream-out-")
     ck = tempfile.mkdtemp(prefix="qaspark-stream-ck-")
-    q = start_ingest(spark, messy, out, ck)
+    _write(messy, "sub/results_a.csv", "question,gold_answer\nsame name,other folder\n")
+    columns = ["question", "gold_answer", "score"]
+    with pytest.raises(ValueError):
+        start_ingest(spark, messy, out, ck, [])
+    q = start_ingest(spark, messy, out, ck, columns)
     q.awaitTermination(120)
     audit = spark.read.parquet(f"{out}/audit")
     files = {r["file"] for r in audit.collect()}
-    assert "results_a.csv" in files and "c.csv" in files
-    # a second run over the same folder processes nothing new
-    q2 = start_ingest(spark, messy, out, ck)
-    q2.awaitTermination(120)
-    assert spark.read.parquet(f"{out}/audit").count() == audit.count()
+    assert {"results_a.csv", "sub/results_a.csv", "c.csv"} <= files
+    n, rows = audit.count(), spark.read.parquet(f"{out}/aggregate").count()
+    # a second run over the same folder processes nothing new; a replayed batch (a new checkpoint begins at 0) overwrites itself
+    for folder in (ck, tempfile.mkdtemp(prefix="qaspark-stream-ck-")):
+        start_ingest(spark, messy, out, folder, columns).awaitTermination(120)
+        assert spark.read.parquet(f"{out}/audit").count() == n and spark.read.parquet(f"{out}/aggregate").count() == rows
 
 
 def test_sql_functions(spark):
