@@ -93,7 +93,7 @@ def test_streaming_ingest(spark, messy):
     q.awaitTermination(120)
     audit = spark.read.parquet(f"{out}/audit")
     files = {r["file"] for r in audit.collect()}
-    assert {"results_a.csv", "sub/results_a.csv", "c.csv"} <= files
+    assert sum(f.split("/")[-1] == "results_a.csv" for f in files) == 2 and any(f.split("/")[-1] == "c.csv" for f in files)
     n, rows = audit.count(), spark.read.parquet(f"{out}/aggregate").count()
     # a second run over the same folder processes nothing new; a replayed batch (a new checkpoint begins at 0) overwrites itself
     for folder in (ck, tempfile.mkdtemp(prefix="qaspark-stream-ck-")):
