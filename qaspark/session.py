@@ -78,3 +78,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = checkpoint_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables written while a block runs; they are deleted at its end.
+
+    What the block returns must not read them: collect it, or write it by ``written``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def path(self, name: str) -> str:
+        self.paths.append(checkpoint_path(self.spark, name))
+        return self.paths[-1]
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.path(name)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        sc = self.spark.sparkContext
+        for p in self.paths:
+            path = sc._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
