@@ -14,12 +14,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from qaspark.session import written
+from qaspark.session import Scratch, written
 
 #: Bytes of text that a Python task works on at a time.
 GROUP_BYTES = 8_000_000
 #: Distinct chunks a Python task remembers with their ids; beyond it, what was not met since the last time is forgotten.
-CACHE_CHUNKS = 450_000
+CACHE_CHUNKS = 600_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,27 +189,28 @@ def broadcast_if_small(table: DataFrame, most_rows: int = 1_000_000) -> DataFram
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph, by alternating large and small stars.
 
-    ``edges``: columns a, b (long; a row with a null or with a = b links nothing).  Returns (id, component_id):
-    each node of an edge with the smallest id it is connected to.  Rounds are written
-    tables; neighbours are never gathered, only their minimum is, so a hub is
-    a skewed join at worst, which AQE splits.  Raises if ``most_rounds``
+    ``edges``: columns a, b (long; a row with a null or with a = b links nothing).  Returns (id, component_id), a written table:
+    each node of an edge with the smallest id it is connected to.  Neighbours are never gathered, only their minimum is,
+    so a hub is a skewed join at worst, which AQE splits.  Raises if ``most_rounds``
     (each halves distances) don't suffice.
     """
-    e = written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
-        # large star: every larger neighbour of u moves to the smallest node around u
-        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, "large-star")
-        # small star: u and its smaller neighbours move to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
-        if now == before:
-            roots = e.select(F.col("v").alias("id")).distinct()
-            return e.select(F.col("u").alias("id"), F.col("v").alias("component_id")).unionAll(roots.select("id", F.col("id").alias("component_id")))
-        before = now
+    with Scratch(edges.sparkSession) as s:
+        e = s.written(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        before = None
+        for _ in range(most_rounds):
+            # large star: every larger neighbour of u moves to the smallest node around u
+            both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+            large = s.written(large, "large-star")
+            # small star: u and its smaller neighbours move to the smallest of them
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            e = s.written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+            now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.sum(F.xxhash64("v", "u") % 999_983)).first())
+            if now == before:
+                roots = e.select(F.col("v").alias("id")).distinct()
+                found = e.select(F.col("u").alias("id"), F.col("v").alias("component_id"))
+                return written(found.unionAll(roots.select("id", F.col("id").alias("component_id"))), "components")
+            before = now
     raise RuntimeError("components did not settle")

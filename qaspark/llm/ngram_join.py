@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from qaspark.llm.common import broadcast_if_small, components, in_groups
-from qaspark.session import written
+from qaspark.session import Scratch, written
 
 #: Sets in a trie; larger groups are divided into blocks, and unresolved blocks meet in pairs.
 GROUP = 128
@@ -260,13 +260,13 @@ def _grouped(rows: DataFrame, run) -> DataFrame:
     return rows.repartition("g", "block").sortWithinPartitions("g", "block", "id").mapInArrow(run, "a long, b long").where("a != b").distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, percent: int, k: int) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, percent: int, k: int, tables: Scratch) -> DataFrame:
     """Links (a, b) among the documents of pairs (g, id): each id meets g, and the others of its block, in a trie."""
     blocks = pairs.groupBy("g").agg(F.ceil(F.count("*") / F.lit(GROUP)).alias("blocks"))
     groups = (pairs.join(blocks, "g").select("g", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id")
               .unionAll(blocks.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.col("g").alias("id"))))
-    groups = written(groups.select("g", "block", "id", F.col("id").alias("component")), "join-groups")
-    ids = written(groups.select(F.col("id").alias("doc_id")).distinct(), "join-ids")
+    groups = tables.written(groups.select("g", "block", "id", F.col("id").alias("component")), "join-groups")
+    ids = tables.written(groups.select(F.col("id").alias("doc_id")).distinct(), "join-ids")
     texts = docs.join(broadcast_if_small(ids), "doc_id", "left_semi")
     rows = groups.join(texts, groups.id == texts.doc_id).select("g", "block", "id", "component", "text")
 
@@ -303,33 +303,34 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     counted and led by a minimum, never gathered; tries hold at most a few hundred sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(_sets(docs, percent, k), "join-sets")
-    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "join-classes")
-    reps = sets.join(broadcast_if_small(classes), (sets.doc_id == classes.rep) & (sets.d1 == classes.d1) & (sets.d2 == classes.d2), "left_semi")
-    postings = reps.select(F.col("doc_id").alias("id"), F.explode("signatures").alias("g")).repartition("g")  # one shuffle for the count and the join
-    shared = postings.groupBy("g").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("g", "lead")
-    members = written(postings.join(shared, "g").select("g", "lead", "id").distinct(), "join-members")
-
-    # first every class meets the least class that it shares a signature with
-    first = written(members.where("id != lead").groupBy("id").agg(F.min("lead").alias("g")), "join-first")
-    links = written(_verify(first, docs, percent, k), "join-links")
-    found = written(components(links), "join-components")
-
-    # then all groups that still hold several components; groups with the same members are one
-    labelled = members.join(found, "id", "left").select("g", "id", F.coalesce("component_id", "id").alias("component"))
-    open_groups = (labelled.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"),
-                                            F.expr("bit_xor(xxhash64(id))").alias("h1"), F.expr("bit_xor(xxhash64(id, 1))").alias("h2"))
-                   .where("least < most").groupBy("h1", "h2", "size").agg(F.min("g").alias("g")))
-    rest = labelled.join(open_groups.select("g", F.ceil(F.col("size") / F.lit(GROUP)).alias("blocks")), "g")
-    own = F.pmod(F.xxhash64("id"), "blocks")
-    # a group of several blocks: each two blocks meet once, block x * blocks + y holds blocks x <= y
-    pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
-    rest = rest.select("g", F.explode(pair).alias("block"), "id", "component")
-    pairs = written(_possible(written(rest, "join-rest"), sets, percent), "join-possible")
-    more = written(_verify(pairs.select(F.least("a", "b").alias("g"), F.greatest("a", "b").alias("id")).distinct(), docs, percent, k), "join-more")
-    found = components(links.unionAll(more)) if not more.isEmpty() else found
-
-    labels = classes.join(found, classes.rep == found.id, "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
-    linked = sets.where("n > 0 and doc_id is not null").join(labels, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionAll(alone)
+    with Scratch(docs.sparkSession) as tables:
+        sets = tables.written(_sets(docs, percent, k), "join-sets")
+        classes = tables.written(sets.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "join-classes")
+        reps = sets.join(broadcast_if_small(classes), (sets.doc_id == classes.rep) & (sets.d1 == classes.d1) & (sets.d2 == classes.d2), "left_semi")
+        postings = reps.select(F.col("doc_id").alias("id"), F.explode("signatures").alias("g")).repartition("g")  # one shuffle for the count and the join
+        shared = postings.groupBy("g").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("g", "lead")
+        members = tables.written(postings.join(shared, "g").select("g", "lead", "id").distinct(), "join-members")
+
+        # first every class meets the least class that it shares a signature with
+        first = tables.written(members.where("id != lead").groupBy("id").agg(F.min("lead").alias("g")), "join-first")
+        links = tables.written(_verify(first, docs, percent, k, tables), "join-links")
+        found = components(links)
+
+        # then all groups that still hold several components; groups with the same members are one
+        labelled = members.join(found, "id", "left").select("g", "id", F.coalesce("component_id", "id").alias("component"))
+        open_groups = (labelled.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"),
+                                                F.expr("bit_xor(xxhash64(id))").alias("h1"), F.expr("bit_xor(xxhash64(id, 1))").alias("h2"))
+                       .where("least < most").groupBy("h1", "h2", "size").agg(F.min("g").alias("g")))
+        rest = labelled.join(open_groups.select("g", F.ceil(F.col("size") / F.lit(GROUP)).alias("blocks")), "g")
+        own = F.pmod(F.xxhash64("id"), "blocks")
+        # a group of several blocks: each two blocks meet once, block x * blocks + y holds blocks x <= y
+        pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
+        rest = rest.select("g", F.explode(pair).alias("block"), "id", "component")
+        pairs = tables.written(_possible(tables.written(rest, "join-rest"), sets, percent), "join-possible")
+        more = tables.written(_verify(pairs.select(F.least("a", "b").alias("g"), F.greatest("a", "b").alias("id")).distinct(), docs, percent, k, tables), "join-more")
+        found = components(links.unionAll(more)) if not more.isEmpty() else found
+
+        labels = classes.join(found, classes.rep == found.id, "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id"))
+        linked = sets.where("n > 0 and doc_id is not null").join(labels, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+        alone = sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        return written(linked.unionAll(alone), "join-result")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from qaspark.llm.common import BYTE_LEVEL, id_type, library_encoder, tokenizer
-from qaspark.session import checkpoint_path
+from qaspark.session import Scratch, checkpoint_path
 
 #: Ids after which a segment is closed; a document is never divided.
 SEGMENT_IDS = 1 << 20
@@ -81,53 +81,55 @@ def encode(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int = 2) -> None:
     """Encode documents (doc_id, text) and write them to ``folder`` in ascending doc_id order.
 
-    Texts are encoded once, into ``folder/encoded``; counts of all ids rank the vocabulary (a table of
+    Texts are encoded once, into a table that goes at the end; counts of all ids rank the vocabulary (a table of
     as many rows as the tokenizer has ids, the only thing that goes through the driver).
     A null doc_id comes first, equal doc_ids follow each other ordered by their ids; an empty table gives empty files;
     other columns are not read.
     """
     spark = docs.sparkSession
     dtype, size = id_type(path), max(tokenizer(path).get_vocab_size(), end_id + 1)
-    encode(docs, path, end_id).write.option("compression", "zstd").parquet(f"{folder}/encoded")
-    enc = spark.read.schema("doc_id long, ids binary").parquet(f"{folder}/encoded")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for b in batches:
-            total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
-
-    counted = enc.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    ids = np.array([r.id for r in sorted(counted.collect(), key=lambda r: (-r.n, r.id))], np.int64)
-    spark.createDataFrame(pa.table({"rank": np.arange(len(ids)), "id": ids}) if len(ids) else [], "rank long, id long").coalesce(1).write.parquet(f"{folder}/vocab")
-    ranks = np.zeros(size, np.uint32)
-    ranks[ids] = np.arange(len(ids))
-
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seg, start, doc_ids, parts, waiting = TaskContext.get().partitionId(), 0, 0, [], [], 0
-
-        def close() -> pa.RecordBatch:
-            all_ids = np.frombuffer(b"".join(parts), dtype)
-            control, data = pack_ranks(ranks[all_ids])
-            lengths = [len(x) // np.dtype(dtype).itemsize for x in parts]
-            row = [part, seg, start, doc_ids, lengths, len(all_ids), control, data]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")])
-
-        for b in batches:
-            for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                doc_ids.append(d)
-                parts.append(x)
-                waiting += len(x) // np.dtype(dtype).itemsize
-                if waiting >= SEGMENT_IDS:
-                    yield close()
-                    seg, start, doc_ids, parts, waiting = seg + 1, start + waiting, [], [], 0
-        if parts:
-            yield close()
-
-    (enc.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids").mapInArrow(segments, SEGMENT_SCHEMA)
-     .write.option("compression", "none").parquet(f"{folder}/segments"))
+    with Scratch(spark) as tables:
+        encoded = tables.path("token-ids")
+        encode(docs, path, end_id).write.option("compression", "zstd").parquet(encoded)
+        enc = spark.read.schema("doc_id long, ids binary").parquet(encoded)
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size, np.int64)
+            for b in batches:
+                total += np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), dtype), minlength=size)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
+
+        counted = enc.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        ids = np.array([r.id for r in sorted(counted.collect(), key=lambda r: (-r.n, r.id))], np.int64)
+        spark.createDataFrame(pa.table({"rank": np.arange(len(ids)), "id": ids}) if len(ids) else [], "rank long, id long").coalesce(1).write.parquet(f"{folder}/vocab")
+        ranks = np.zeros(size, np.uint32)
+        ranks[ids] = np.arange(len(ids))
+
+        def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, seg, start, doc_ids, parts, waiting = TaskContext.get().partitionId(), 0, 0, [], [], 0
+
+            def close() -> pa.RecordBatch:
+                all_ids = np.frombuffer(b"".join(parts), dtype)
+                control, data = pack_ranks(ranks[all_ids])
+                lengths = [len(x) // np.dtype(dtype).itemsize for x in parts]
+                row = [part, seg, start, doc_ids, lengths, len(all_ids), control, data]
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+                return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [c.split()[0] for c in SEGMENT_SCHEMA.split(", ")])
+
+            for b in batches:
+                for d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    doc_ids.append(d)
+                    parts.append(x)
+                    waiting += len(x) // np.dtype(dtype).itemsize
+                    if waiting >= SEGMENT_IDS:
+                        yield close()
+                        seg, start, doc_ids, parts, waiting = seg + 1, start + waiting, [], [], 0
+            if parts:
+                yield close()
+
+        (enc.repartitionByRange("doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", "ids").mapInArrow(segments, SEGMENT_SCHEMA)
+         .write.option("compression", "none").parquet(f"{folder}/segments"))
     (spark.read.schema(SEGMENT_SCHEMA).parquet(f"{folder}/segments").groupBy("part").agg(F.sum("n_ids").alias("n_ids"))
      .write.parquet(f"{folder}/parts"))
 

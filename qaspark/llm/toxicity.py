@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from qaspark.session import written
+from qaspark.session import Scratch
 
 #: Bound of the training sample: about so many labelled documents of each class, chosen by a hash of doc_id.
 TRAIN_DOCS = 6_000
@@ -141,17 +141,18 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
             yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([v[0] for v in found.values()]), pa.array([v[1] for v in found.values()])], ["f", "n0", "n1"])
 
     counts = sample.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where("n0 + n1 >= 3 or f = ''")
-    counts = written(counts, "toxicity-counts")
-    docs_ = counts.where("f = ''").first()
-    if docs_ is None or not docs_.n0 or not docs_.n1:
-        return None
-    n0, n1 = float(docs_.n0), float(docs_.n1)
-    p0, p1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
-    # how many standard errors the two classes' log rates are apart
-    z = (F.log(p1) - F.log(p0)) / F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
-    scored = counts.where("f != ''").select("f", z.alias("z"))
-    scored = scored.where(F.abs("z") >= LEAST_Z)
-    top = [r.f for order in (F.desc("z"), F.asc("z")) for r in scored.orderBy(order, "f").limit(FEATURES // 2).collect()]
+    with Scratch(docs.sparkSession) as tables:
+        counts = tables.written(counts, "toxicity-counts")
+        docs_ = counts.where("f = ''").first()
+        if docs_ is None or not docs_.n0 or not docs_.n1:
+            return None
+        n0, n1 = float(docs_.n0), float(docs_.n1)
+        p0, p1 = (F.col("n0") + 0.5) / (n0 + 1), (F.col("n1") + 0.5) / (n1 + 1)
+        # how many standard errors the two classes' log rates are apart
+        z = (F.log(p1) - F.log(p0)) / F.sqrt(1 / (F.col("n0") + 0.5) + 1 / (F.col("n1") + 0.5))
+        scored = counts.where("f != ''").select("f", z.alias("z"))
+        scored = scored.where(F.abs("z") >= LEAST_Z)
+        top = [r.f for order in (F.desc("z"), F.asc("z")) for r in scored.orderBy(order, "f").limit(FEATURES // 2).collect()]
     names = sorted({*top, *features(set(_TERMS))})
     place = {f: i for i, f in enumerate(names)}
 
