@@ -81,12 +81,12 @@ class ByteBpe:
         self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(len(self.ranks))]
         self.encode = ChunkEncoder(BYTE_LEVEL, self._new, "<u4")
 
-    def _new(self, chunks: list[str]) -> list[list[int]]:
+    def _new(self, chunks: list[str]) -> list[bytes]:
         cut = [[m.encode("utf-8", "replace") for m in self.cut(c)] for c in chunks]
         # a match that is in the vocabulary is one id, whether or not merges lead to it
         rest = list({m for x in cut for m in x if m not in self.ranks})
         ids = dict(zip(rest, self.model.encode([m.decode("latin-1").translate(self.map) for m in rest], num_threads=1)))
-        return [[i for m in x for i in ([self.ranks[m]] if m in self.ranks else ids[m])] for x in cut]
+        return [np.array([i for m in x for i in ([self.ranks[m]] if m in self.ranks else ids[m])], "<u4").tobytes() for x in cut]
 
     def decode(self, ids: bytes) -> bytes:
         table = self.bytes_of
@@ -99,31 +99,42 @@ def codec(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids binary) of every row; ids as little-endian unsigned 32-bit integers.
+#: Documents of an Arrow batch that are in work at a time.
+ROWS = 500
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, decode: bool = False) -> DataFrame:
+    """(doc_id, ids binary) of every row; ids as little-endian unsigned 32-bit integers.  ``decode``: also decoded (binary), the ids' bytes.
 
     A null or empty text has no ids.  Rows are independent: ties and repeated rows each give theirs, an
     empty table none; a doc_id may be null; other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = codec(path, pattern).encode(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        own = codec(path, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                ids = own.encode(b.column(1))
+                more = {"decoded": pa.array([own.decode(x) for x in ids], pa.binary())} if decode else {}
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": pa.array(ids, pa.binary()), **more})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    schema = "doc_id long, ids binary" + ", decoded binary" * decode
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, decoded binary) of encoded documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = codec(path, pattern)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([own.decode(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "ids", "decoded"])
+        own = codec(path, pattern)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": b.column(1), "decoded": pa.array([own.decode(x) for x in b.column(1).to_pylist()], pa.binary())})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Encode, decode the ids: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    both = decode_documents(encode_documents(docs, path, pattern), path, pattern)
+    """Encode, decode the ids: doc_id, n_tokens, ids_sha256, decoded_sha256.  One Python worker does both, with one model and memory of chunks."""
+    both = encode_documents(docs, path, pattern, decode=True)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

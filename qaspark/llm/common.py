@@ -61,8 +61,6 @@ _ODD = [re.compile(p).search for p in ("[^\n\x20-\x7eÀ-ɏ]", f"[.,][^{_LETTERS}
 _BEFORE_PLAIN = re.compile("(?= [\x21-\x7eÀ-ɏ])")
 #: Plain visible characters, after a space or not.
 _WORD = re.compile(" ?[\x21-\x7eÀ-ɏ]+").fullmatch
-#: A word and the marks after it, which every pre-tokenizer here sets apart.
-_STEM = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?]+)").fullmatch
 
 
 @dataclasses.dataclass(frozen=True)
@@ -98,29 +96,26 @@ WORDS = Cut(_odd, lambda t: t.replace("\n", " ").split(" "),
 class ChunkEncoder:
     """Ids of texts as bytes, chunk by chunk; what a chunk's ids are is remembered.
 
-    ``encode_new`` maps a list of chunks to their ids, as lists or arrays of int.
+    ``encode_new`` maps a list of chunks to their ids, as bytes of ``dtype``.
     """
 
-    def __init__(self, cut: Cut, encode_new: Callable[[list[str]], Iterable[list[int]]], dtype: str):
+    def __init__(self, cut: Cut, encode_new: Callable[[list[str]], Iterable[bytes]], dtype: str):
         self.cut, self.encode_new, self.dtype = cut, encode_new, dtype
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str]) -> None:
+        if len(self.known) > CACHE_CHUNKS:
+            self.older, self.known = self.known, {}
         known, older = self.known, self.older
-        if len(known) > CACHE_CHUNKS:
-            self.older, self.known = older, known = known, {}
-        parts = {c: m.groups() if (m := _STEM(c)) else (c,) for c in chunks if c not in known}
         new = []
-        for x in {x for xs in parts.values() for x in xs if x not in known}:
-            if (ids := older.get(x)) is None:
-                new.append(x)
-            else:
-                known[x] = ids
-        for x, ids in zip(new, self.encode_new(new), strict=True):
-            known[x] = np.array(ids, self.dtype).tobytes()
-        for c, xs in parts.items():
-            known[c] = b"".join([known[x] for x in xs])
+        for c in chunks:
+            if c not in known:
+                if (ids := older.get(c)) is None:
+                    new.append(c)
+                else:
+                    known[c] = ids
+        known.update(zip(new, self.encode_new(new), strict=True))
 
     def _encode(self, cut: pa.ListArray) -> list[bytes]:
         """Ids of each list of chunks."""
@@ -160,18 +155,21 @@ def library_encoder(path: str, cut: Cut, separator: str) -> ChunkEncoder:
     (mark,) = t.encode(separator, add_special_tokens=False).ids
     dtype = id_type(path)
 
-    def alone(chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
+    width = np.dtype(dtype).itemsize
 
-    def run(chunks: list[str]) -> list[list[int]]:
+    def alone(chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def run(chunks: list[str]) -> list[bytes]:
         (e,) = t.encode_batch_fast([separator.join(chunks)], add_special_tokens=False)
         ids = np.array(e.ids, dtype)
-        at = np.flatnonzero(ids == mark).tolist()
+        at = (width * np.flatnonzero(ids == mark)).tolist()
         if len(at) != len(chunks) - 1:
             return alone(chunks)
-        return [ids[x:y] for x, y in zip([0, *[i + 1 for i in at]], [*at, len(ids)])]
+        raw = ids.tobytes()
+        return [raw[x:y] for x, y in zip([0, *[i + width for i in at]], [*at, len(raw)])]
 
-    def encode_new(chunks: list[str]) -> list[list[int]]:
+    def encode_new(chunks: list[str]) -> list[bytes]:
         easy = [c for c in chunks if _WORD(c)]
         out = dict(zip(easy, (x for i in range(0, len(easy), 4000) for x in run(easy[i : i + 4000])), strict=True))
         hard = [c for c in chunks if c not in out]
