@@ -17,8 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import id_type, library_encoder, tokenizer, WORDS
-from qaspark.session import checkpoint_path, written
+from qaspark.llm.common import WORDS, broadcast_if_small, id_type, library_encoder, tokenizer
+from qaspark.session import Scratch, written
 
 #: Buckets of the hashed vectors, dimensions and bits a dimension of the curve (their product under 63), seed of the projection.
 BUCKETS, DIMS, BITS, SEED = 256, 4, 8, 7
@@ -123,16 +123,17 @@ def pack(docs: DataFrame, path: str, seq_len: int = 2048, end_id: int = 1) -> Da
             kinds = [pa.int64()] * 6 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 7, kinds)], [c.split()[0] for c in PIECES.split(", ")])
 
-    encoded = checkpoint_path(spark, "pack-encoded")
-    (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-     .mapInArrow(encode, "doc_id long, curve long, ids binary").write.option("compression", "zstd").parquet(encoded))
-    # the range partitions' bounds come from a sample: from the written table, not from encoding again
-    by_curve = (spark.read.schema("doc_id long, curve long, ids binary").parquet(encoded)
-                .repartitionByRange("curve", "doc_id", F.xxhash64("ids")).sortWithinPartitions("curve", "doc_id", "ids").select("doc_id", "ids"))
-    placed = written(by_curve.mapInArrow(place, "part int, doc_id long, place long, n long, ids binary"), "pack-placed")
+    with Scratch(spark) as tables:
+        encoded = tables.path("pack-encoded")
+        (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+         .mapInArrow(encode, "doc_id long, curve long, ids binary").write.option("compression", "zstd").parquet(encoded))
+        # the range partitions' bounds come from a sample: from the written table, not from encoding again
+        by_curve = (spark.read.schema("doc_id long, curve long, ids binary").parquet(encoded)
+                    .repartitionByRange("curve", "doc_id", F.xxhash64("ids")).sortWithinPartitions("curve", "doc_id", "ids").select("doc_id", "ids"))
+        placed = written(by_curve.mapInArrow(place, "part int, doc_id long, place long, n long, ids binary"), "pack-placed")
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    parts = placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
-    return placed.join(parts, "part").select("doc_id", (F.col("place") + F.col("before")).alias("at"), "ids").mapInArrow(cut, PIECES)
+    parts = written(placed.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before")), "pack-parts")
+    return placed.join(broadcast_if_small(parts), "part").select("doc_id", (F.col("place") + F.col("before")).alias("at"), "ids").mapInArrow(cut, PIECES)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
