@@ -179,6 +179,11 @@ def library_encoder(path: str, cut: Cut, separator: str) -> ChunkEncoder:
     return ChunkEncoder(cut, encode_new, dtype)
 
 
+def forget_chunks() -> None:
+    """Free the chunks that an encoder has left in this Python worker, which Spark uses again for other operators."""
+    library_encoder.cache_clear()
+
+
 def broadcast_if_small(table: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
     """A written table of a few numbers a row, to be broadcast if it is as small as that; else any join may be chosen."""
     return F.broadcast(table) if table.limit(most_rows + 1).count() <= most_rows else table

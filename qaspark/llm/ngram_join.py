@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from qaspark.llm.common import broadcast_if_small, components, in_groups
+from qaspark.llm.common import broadcast_if_small, components, forget_chunks, in_groups
 from qaspark.session import Scratch, written
 
 #: Sets in a trie; larger groups are divided into blocks, and unresolved blocks meet in pairs.
@@ -220,6 +220,7 @@ def trie_join(sets: list[np.ndarray], groups: list[int], percent: int) -> list[t
 
 def _sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_chunks()
         levels = Levels(percent)
         for b in batches:
             sets = shingle_sets([t or "" for t in b.column(1).to_pylist()], k)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from qaspark.llm.common import forget_chunks
 from qaspark.session import Scratch
 
 #: Bound of the training sample: about so many labelled documents of each class, chosen by a hash of doc_id.
@@ -130,6 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     sample = docs.where("train").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_chunks()
         for b in batches:
             found: dict[str, list[int]] = {}
             docs_ = [0, 0]
@@ -177,6 +179,7 @@ def score_rows(docs: DataFrame, model: Model | None, columns: list[str] | None =
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns or docs.columns]).alias("__row"), F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_chunks()
         for b in batches:
             out = [model.score(t or "") if model else 0.0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array([int(x >= THRESHOLD) for x in out], pa.int32())], ["__row", "__score", "__predicted"])
