@@ -159,3 +159,33 @@ def test_exact_dedup_twin(spark):
     want = sorted(con.sql(exact_dedup.ORACLE).fetchall())
     got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.deduplicate(docs, buckets=2).collect())
     assert got == want
+
+
+def line_links(keys):
+    """Pairs (a < b) of lines of similarity 0.8, by brute force."""
+    sets = [{k[j : j + 8] for j in range(max(1, len(k) - 7))} for k in keys]
+    return [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+
+
+def removed(spark, keys):
+    """Numbers of the lines that line dedup removes, a document a line."""
+    return {r.doc_id for r in line_dedup.dedup_lines(docs_of(spark, keys).repartition(4)).where("n_removed = 1").collect()}
+
+
+def test_line_dedup_without_spaces(spark):
+    rng = random.Random(8)
+    thai, lao, khmer, burmese = ([chr(c) for c in range(a, a + 40)] for a in (0x0E01, 0x0E81, 0x1780, 0x1000))
+    keys = []
+    for script in (thai, lao, khmer, burmese):
+        for _ in range(25):
+            line = "".join(rng.choices(script, k=110))
+            at = rng.randrange(1, 110)
+            keys += [line, rng.choice(script) + line] if rng.random() < 0.5 else [line, line[:at] + rng.choice(script) + line[at:]]
+    for _ in range(60):
+        fields = "\t".join(str(rng.randrange(10**6)) for _ in range(14))
+        url = "://host.example.org/" + "/".join("".join(rng.choices("abcdefghij-", k=12)) for _ in range(6))
+        # short lines of a few words: one ends in a mark
+        words = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(3))
+        keys += [fields, "7" + fields, "https" + url, "http" + url, words, words + "."]
+    label = connected(range(len(keys)), line_links(keys))
+    assert removed(spark, keys) == {i for i in label if label[i] != i} and len(set(label.values())) < 0.6 * len(keys)
