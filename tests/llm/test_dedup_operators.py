@@ -189,3 +189,20 @@ def test_line_dedup_without_spaces(spark):
         keys += [fields, "7" + fields, "https" + url, "http" + url, words, words + "."]
     label = connected(range(len(keys)), line_links(keys))
     assert removed(spark, keys) == {i for i in label if label[i] != i} and len(set(label.values())) < 0.6 * len(keys)
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_line_dedup_template(spark, monkeypatch, block):
+    """Lines with a common beginning, below the threshold to each other, in pairs that differ in one word."""
+    monkeypatch.setattr(line_dedup, "BLOCK", block, raising=False)
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3000)]
+    common, keys = rng.choices(words, k=18), []
+    for _ in range(300):
+        own = rng.choices(words, k=6)
+        other = list(own)
+        other[rng.randrange(6)] = rng.choice(words)
+        keys += [" ".join(common + own), " ".join(common + other)]
+    label = connected(range(len(keys)), line_links(keys))
+    want = {i for i in label if label[i] != i}
+    assert len(want) >= 300 and removed(spark, keys) == want
