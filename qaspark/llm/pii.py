@@ -12,7 +12,7 @@ stay equal in all documents, different ones different, and who has the key can i
 | date | y-m-d, d.m.y, m/d/y or d/m/y, years 1600 to 2399 | the calendar | the day within its 400 years; d/m/y with a day over 12: month and year, the day stays |
 | ssn | 3-2-4 digits | area 001-665, 667-899, group and serial not 0 | all three |
 | phone | 10 digits with separators, +1 or 1 before or not | area from 200 | all but the country code, area stays from 200 |
-| card | 13 to 19 digits, in groups or not | Luhn | all but the first digit, the check digit is computed |
+| card | 13 to 19 digits unbroken, 4-4-4-4, 4-4-4-4-3, 4-6-4 or 4-6-5; in a row of groups of four each place is tried | Luhn | all but the first digit, the check digit is computed |
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ PATTERNS = {
     "mdy": rf"(?<![\d/])\d\d/\d\d/{_YEAR}(?![\d/])",
     "ssn": r"(?<![\d-])\d{3}-\d\d-\d{4}(?![\d-])",
     "phone": r"(?<![\d.])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\) ?|[2-9]\d\d[ .-])\d{3}[ .-]\d{4}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<!\d)\d{4}(?:[ -]\d{4}){3,}(?:[ -]\d{3})?(?!\d|-\d{2,3}-\d|[ .-]\d{3}[ .-]\d{4}(?!\d))"
+            r"|(?<!\d)\d{4}[ -]\d{6}[ -]\d{4,5}(?!\d)|(?<!\d)\d{13,19}(?!\d)",
 }
 ANY = "|".join(PATTERNS.values())
 #: The places between two characters.
@@ -163,6 +164,26 @@ def _card(m: Column, key: str) -> Column:
     return F.when(_luhn_sum(digits, 1) % 10 == 0, new)
 
 
+def _cards(m: Column, key: str) -> Column:
+    """Groups of four digits in a row, the last of three or not: each card of four groups (and the last) from the left; null without one."""
+    k = F.floor((F.length(m) + 1) / 5).cast("int")
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"), F.lit(False).alias("found"))
+
+    def one(s: Column, i: Column) -> Column:
+        at = i * 5 + 1
+        long = F.when((i == k - 4) & (F.length(m) == k * 5 + 3), _card(F.substr(m, at, F.lit(23)), key))
+        short = F.when(i <= k - 4, F.concat(_card(F.substr(m, at, F.lit(19)), key), F.substr(m, at + 19, F.lit(1))))
+        new = F.array(F.struct(long.alias("long"), short.alias("short")))
+        step = F.transform(new, lambda n: F.struct(
+            F.concat(s["out"], F.coalesce(n["long"], n["short"], F.substr(m, at, F.lit(5)))).alias("out"),
+            F.when(n["long"].isNotNull(), i + 5).when(n["short"].isNotNull(), i + 4).otherwise(i + 1).alias("next"),
+            (s["found"] | n["long"].isNotNull() | n["short"].isNotNull()).alias("found")))[0]
+        return F.when(i < s["next"], s).otherwise(step)
+
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), k - 4))
+    return F.aggregate(places, start, one, lambda s: F.when(s["found"], F.concat(s["out"], F.substr(m, s["next"] * 5 + 1, F.length(m)))))
+
+
 def pseudonym(m: Column, key: str) -> Column:
     """What replaces a match of ANY: null if it is not valid, and stays."""
     return (F.when(m.contains("@"), _email(m, key))
@@ -172,6 +193,7 @@ def pseudonym(m: Column, key: str) -> Column:
             .when(m.rlike(rf"^\d\d/\d\d/{_YEAR}$"), F.coalesce(_date(m, "MM/dd/yyyy", key), _day_first(m, key)))
             .when(m.rlike(r"^\d{3}-\d\d-\d{4}$"), _ssn(m, key))
             .when(m.rlike("^" + PATTERNS["phone"].split(")", 1)[1] + "$"), _phone(m, key))
+            .when(m.rlike(r"^\d{4}(?:[ -]\d{4}){3}"), _cards(m, key))
             .otherwise(_card(m, key)))
 
 

@@ -218,6 +218,18 @@ def test_pii_matches_an_independent_feistel(spark):
     assert pii.pseudonymise(docs.where("false"), KEY).count() == 0
 
 
+def test_pii_beside_other_numbers(spark):
+    card, ssn, phone, iso = "4111 1111 1111 1111", "123-45-6789", "415-555-1234", "2024-05-17"
+    cases = [("", card, "card", " 123"), ("", card, "card", " 12/27"), ("id 7 ", card, "card", ""), ("1234 ", card, "card", " 99"), ("row 99 ", ssn, "ssn", " 01"),
+             ("desk 2 ", phone, "phone", " 99"), ("on 10 ", iso, "iso", " 7"), ("2 ", "3782-822463-10005", "card", " 31"), ("5 ", "4111111111111111", "card", " 123")]
+    texts = [a + v + b for a, v, _, b in cases] + [f"{card} 5500 0000 0000 0004", f"{card} {ssn}", f"{card} {phone}", f"on 10 {iso} 2024-06-18"]
+    want = [a + brute(v, kind) + b for a, v, kind, b in cases] + [" ".join(brute(v, kind) for v, kind in x) for x in (
+        [(card, "card"), ("5500 0000 0000 0004", "card")], [(card, "card"), (ssn, "ssn")], [(card, "card"), (phone, "phone")])]
+    want.append(f"on 10 {brute(iso, 'iso')} {brute('2024-06-18', 'iso')}")
+    rows = pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()
+    assert [r.text for r in sorted(rows, key=lambda r: r.doc_id)] == want
+
+
 def test_pii_is_a_permutation(spark):
     days = [date(1999, 1, 1) + timedelta(i) for i in range(0, 1500)]
     forms = {"%Y-%m-%d": [], "%d.%m.%Y": [], "%m/%d/%Y": []}
