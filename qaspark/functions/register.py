@@ -2,16 +2,15 @@
 
 Native functions are SQL UDFs (``CREATE TEMPORARY FUNCTION ... RETURN``):
 the optimizer inlines them, so they stay JVM-side and inside whole-stage
-codegen.  The bit-parallel scorers, the accent fold and the lexical
-support are the same Arrow-batched pandas UDFs the DataFrame API uses.
+codegen.  The bit-parallel scorers are the same Arrow-batched pandas UDFs the DataFrame API uses.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from . import grounding as gr
 from . import text as tx
+from .grounding import LEADING, SYLLABLES, TRAILING, VOWELS, decompositions
 
 _NATIVE = {
     "qa_normalize": ("s STRING", "STRING",
@@ -40,10 +39,24 @@ _NATIVE = {
 }
 
 
+def _fold_accents() -> str:
+    """The body of qa_fold_accents, by the tables of ``grounding.fold_accents``."""
+    def lit(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    single, to, several, listed = map(lit, decompositions())
+    syllable = (f"concat(substr({lit(LEADING)}, int(floor((ascii(c) - 44032) / 588)) + 1, 1), substr({lit(VOWELS)}, int(floor((ascii(c) - 44032) % 588 / 28)) + 1, 1), "
+                f"if((ascii(c) - 44032) % 28 > 0, substr({lit(TRAILING)}, (ascii(c) - 44032) % 28, 1), ''))")
+    expand = f"if(c rlike '{SYLLABLES}', {syllable}, substring_index(substring_index({listed}, concat('\x01', c), -1), '\x01', 1))"
+    return (f"transform(array(translate(coalesce(s, ''), {single}, {to})), t -> if(not (t rlike '{SYLLABLES}') and translate(t, {several}, '') = t, t, "
+            f"aggregate(filter(array_distinct(split(t, '')), c -> c rlike '{SYLLABLES}' or c <> '' and translate(c, {several}, '') = ''), t, "
+            f"(a, c) -> replace(a, c, {expand}))))[0]")
+
+
 def register(spark: SparkSession) -> list[str]:
     """Create the temporary SQL functions; returns their names."""
-    for name, (args, ret, body) in _NATIVE.items():
+    native = _NATIVE | {"qa_fold_accents": ("s STRING", "STRING", _fold_accents())}
+    for name, (args, ret, body) in native.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {ret} RETURN {body}")
     spark.udf.register("qa_pair_measures", tx._pair_measures_udf)  # (normalised pred, array of normalised refs) -> shared tokens, LCS, edits
-    spark.udf.register("qa_fold_accents", gr._fold_accents_udf)
-    return list(_NATIVE) + ["qa_pair_measures", "qa_fold_accents"]
+    return list(native) + ["qa_pair_measures"]

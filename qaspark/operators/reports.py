@@ -78,7 +78,12 @@ def exact_mean(c) -> Column:
     partitioning or task order (double sums do, in the last bits)."""
     c = F.col(c) if isinstance(c, str) else c
     v = c.try_cast(MEAN_DECIMAL)
-    return F.try_divide(F.sum(v).cast("double"), F.count(v))
+    return decimal_mean(F.sum(v), F.count(v))
+
+
+def decimal_mean(total: Column, n: Column) -> Column:
+    """total / n, divided in decimal at 19 places and only then made a double, so that a tie rounds as it should."""
+    return F.try_divide(total.cast(MEAN_DECIMAL), n).cast("double")
 
 
 def _mean_or_null(df: DataFrame, src: str) -> Column:
@@ -148,7 +153,7 @@ def report_family_means(scored: DataFrame, keysets: dict[str, list[str]] | None
         c for name, _ in metrics for c in (F.sum(value[name]).alias(f"_s_{name}"), F.count(value[name]).alias(f"_n_{name}"))])
     fam = fine.groupingSets([[F.col(k) for k in ks] for ks in uniq], *[F.col(k) for k in all_keys]).agg(
         F.grouping_id(*all_keys).alias("_gid"), F.sum("n").alias("n"),
-        *[F.try_divide(F.sum(f"_s_{name}").cast("double"), F.sum(f"_n_{name}")).alias(name) for name, _ in metrics])
+        *[decimal_mean(F.sum(f"_s_{name}"), F.sum(f"_n_{name}")).alias(name) for name, _ in metrics])
     fam = fam.select(*all_keys, "_gid", "n", *[F.col(name) if src in scored.columns else F.lit(None).cast("double").alias(name) for name, src in MEAN_SPEC])
     # map grouping ids to report names (bit i set = key i not grouped)
     rows = []

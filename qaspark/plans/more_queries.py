@@ -96,9 +96,12 @@ from .oracle import lexical_cols, sentence_cov  # noqa: E402
 
 
 def run_log_with_context(spark, sf):
-    """Run log plus its context: the document of the conversation (doc_id = conv_id)."""
+    """Run log plus its context: the document of the conversation (doc_id = conv_id).
+
+    Dealt anew by pair: what works on the texts takes longer than the join, and a conversation with many pairs is one key of it.
+    """
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("context"))
-    return run_log(spark, sf).join(docs, "conv_id", "left")
+    return run_log(spark, sf).join(docs, "conv_id", "left").repartition("pair_id")
 
 
 _CTX_SQL = "rc AS (SELECT r.*, d.text AS context FROM run_log r LEFT JOIN documents d ON d.doc_id = r.conv_id)"
@@ -111,9 +114,7 @@ SELECT pair_id, gp.f AS factual_consistency_0_10, gp.h AS hallucination_rate_0_1
 FROM (SELECT pair_id, {lexical_cols('predicted_answer', 'context', 'language', 'gp')},
              {lexical_cols('gold_answer', 'context', 'language', 'gg')} FROM rc)""")
 def q_lexical_support(spark, sf):
-    d = run_log_with_context(spark, sf)
-    d = gr.add_lexical_support(d, "predicted_answer", "context", "language", "gp")
-    d = gr.add_lexical_support(d, "gold_answer", "context", "language", "gg")
+    d = gr.add_lexical_supports(run_log_with_context(spark, sf), {"gp": "predicted_answer", "gg": "gold_answer"}, "context", "language")
     return d.select("pair_id", F.col("gp.factual_consistency_0_10"), F.col("gp.hallucination_rate_0_1"),
                     gr.support_ratio("gp.factual_consistency_0_10").alias("groundedness_pred_0_1"),
                     gr.support_ratio("gg.factual_consistency_0_10").alias("retrieval_support_gold_0_1"),

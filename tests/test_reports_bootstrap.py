@@ -110,3 +110,12 @@ def test_leaderboard_and_best(scored):
     assert vals == sorted(vals, reverse=True)
     best = rp.best_per_language(table).collect()
     assert len({r["language"] for r in best}) == len(best)
+
+
+def test_mean_of_a_tie_is_divided_in_decimal(spark):
+    """0.432712 and 0.432713: the mean 0.4327125 rounds up, in the report and in the family."""
+    rows = [("q", "e2", v, "l") for v in (0.432712, 0.432713)]
+    d = spark.createDataFrame(rows, "question string, embedding string, groundedness_pred_0_1 double, llm string")
+    assert rp.round_doubles(rp.agg_means(d, ["embedding"])).first().groundedness_mean == 0.432713
+    family = rp.round_doubles(rp.report_family_means(d)).where("report = 'by_embedding'").collect()
+    assert [r.groundedness_mean for r in family] == [0.432713]
