@@ -45,7 +45,8 @@ def tokenizer(path: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    # their strings in a text are ordinary text, as the vocabularies' description has it: no text of a corpus can forge an end of document
+    t.encode_special_tokens = True
     return t
 
 
@@ -55,8 +56,9 @@ def id_type(path: str) -> str:
 
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: What makes a text odd: a character besides printable ASCII, Latin letters and the line feed; a full stop or comma beside another mark.
-_ODD = [re.compile(p).search for p in ("[^\n\x20-\x7eÀ-ɏ]", f"[.,][^{_LETTERS}0-9 \n]", f"[.,](?<![{_LETTERS}0-9][.,])")]
+#: What makes a text odd: a character besides printable ASCII, Latin letters (but U+0130, whose lower case is two characters) and the line feed;
+#: a full stop or comma beside another mark.
+_ODD = [re.compile(p).search for p in ("[^\n\x20-\x7eÀ-\u012f\u0131-ɏ]", f"[.,][^{_LETTERS}0-9 \n]", f"[.,](?<![{_LETTERS}0-9][.,])")]
 #: A space before a plain visible character always begins a piece of a byte-level pre-tokenizer.
 _BEFORE_PLAIN = re.compile("(?= [\x21-\x7eÀ-ɏ])")
 #: Plain visible characters, after a space or not.

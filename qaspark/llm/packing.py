@@ -71,7 +71,7 @@ def _hashed(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def document_key(ids: list[np.ndarray], size: int) -> np.ndarray:
     """Hilbert key of each document's hashed, normalised and projected vector; no ids: the middle cell's."""
     bucket, sign, projection = _hashed(size)
-    v = np.stack([np.bincount(bucket[x], sign[x], BUCKETS) for x in ids])
+    v = np.stack([np.bincount(bucket[x], sign[x], BUCKETS) for x in ids]).astype(float)  # of no ids numpy counts in integers
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
     p = v @ projection  # about normal: a logistic curve spreads it evenly over the cells
     return hilbert_key(np.minimum((1 << BITS) - 1, (1 << BITS) / (1 + np.exp(-1.702 * p))).astype(np.int64), BITS)

@@ -26,9 +26,11 @@ SHIFTS = 16
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _YEAR = r"(?:1[6-9]|2[0-3])\d\d"
+#: Labels up to the last dot that letters follow.  Possessive: java.util.regex matches them in a loop, however long a host is; a greedy group recurses.
+_HOST = r"(?:(?:[A-Za-z0-9-]++\.(?![A-Za-z]{2}))*+[A-Za-z0-9-]++\.(?=[A-Za-z]{2}))++[A-Za-z]{2,}"
 #: In the order in which they are tried at a place of the text.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@{_HOST}",
     "ipv4": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ymd": rf"(?<![\d-]){_YEAR}-\d\d-\d\d(?![\d-])",
     "dmy": rf"(?<![\d.])\d\d\.\d\d\.{_YEAR}(?!\d)",
