@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from qaspark.llm import byte_bpe, exact_dedup, langid, line_dedup, ngram_join, packing, phrases, pii, quality, token_files, toxicity
+from qaspark.llm import byte_bpe, exact_dedup, langid, line_dedup, ngram_join, packing, phrases, pii, quality, token_files, toxicity, vector_codes, warc
 from qaspark.llm.common import documents
 
 
@@ -63,15 +63,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip_digests(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_digests(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [op1_hilbert_packing, op2_line_dedup, op3_exact_dedup, op4_toxicity, op5_pii, op6_language, op7_line_quality, op8_ngram_join,
-           op9_token_files, op10_byte_bpe, op13_phrases]
+           op9_token_files, op10_byte_bpe, op11_warc, op12_vector_codes, op13_phrases]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE, "op7_line_quality": quality.ORACLE, "op13_phrases": phrases.ORACLE}
+    return {"op3_exact_dedup": exact_dedup.ORACLE, "op7_line_quality": quality.ORACLE, "op11_warc": warc.ORACLE, "op12_vector_codes": vector_codes.ORACLE, "op13_phrases": phrases.ORACLE}
