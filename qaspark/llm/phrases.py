@@ -257,10 +257,12 @@ def _frequent(docs: DataFrame, depth: int, least: int, tables: Scratch) -> tuple
     pairs = tables.written(_count_pairs(docs, seed, known and np.unique(known[0].view(np.uint64))).where(F.col("n") >= least), "phrase-pairs")
     cut, hot = _pair_keys(pairs, seed)
     suffixes = tables.written(_suffixes(docs, seed, depth, cut, hot), "phrase-suffixes")
-    prefixes = F.transform(F.sequence(F.lit(3), F.size("words")), lambda d: F.slice("words", 1, d))
-    summed = (suffixes.where("hot").select("lang", F.explode(prefixes).alias("words"), "n").groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    sorted_ = _sort(suffixes.where("not hot"), depth, least)
+    for d in range(3, depth + 1):
+        of_hot = suffixes.where(F.col("hot") & (F.size("words") >= d)).groupBy("lang", F.slice("words", 1, d).alias("words"))
+        sorted_ = sorted_.unionAll(of_hot.agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     phrases = (words.select("lang", F.array("h").alias("words"), "n").unionAll(pairs.select("lang", F.array("h1", "h2").alias("words"), "n"))
-               .unionAll(_sort(suffixes.where("not hot"), depth, least)).unionAll(summed))
+               .unionAll(sorted_))
     return tables.written(phrases, "phrase-counts"), words.select("lang", "h", "word"), langs
 
 
