@@ -188,4 +188,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all() -> None:
     # importing the plan modules registers their queries
-    from . import data_queries, more_queries  # noqa: F401
+    from . import data_queries, file_queries, more_queries  # noqa: F401

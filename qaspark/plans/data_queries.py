@@ -88,7 +88,7 @@ def q_preferred_order(spark, sf):
 @register("bench_union", _UNION_SQL.replace("SELECT f[1] AS doc_id", r"SELECT regexp_extract(file, '^bench_out_([^/]*)/', 1) AS db_lang, f[1] AS doc_id", 1))
 def q_bench_union(spark, sf):
     """The union of the document files with the language of each path first."""
-    t = au.union_normalised(document_files(spark, sf)).drop("blk", "ord")
+    t = au.union_normalised(document_files(spark, sf)).drop("split", "blk", "ord")
     return t.select(cl.lang_from_path("source_file").alias("db_lang"), *t.columns)
 
 

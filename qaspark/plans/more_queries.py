@@ -390,6 +390,12 @@ def _join(sep, *cols):
     return F.concat(*out)
 
 
+def line_place(row):
+    """(split, blk) of the lines of row ``row`` of a file: as if 2,000 rows were 128 MB, in blocks of 200 rows."""
+    n = F.col(row)
+    return [(F.floor(n / 2000) * (1 << 27)).cast("long").alias("split"), F.floor(n / 200).cast("long").alias("blk")]
+
+
 def document_files(spark, sf):
     """``documents`` written as messy result files, one per (language, source).
 
@@ -414,11 +420,11 @@ def document_files(spark, sf):
         .otherwise(_join(delim, F.lit("doc_id"), F.lit("lang"), F.lit("n_chars"), F.lit("text")))
     file = F.concat(F.lit("bench_out_"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".csv"))
     # physical lines, in their order within the file
-    rows = d.select(file.alias("file"), F.lit(0).cast("long").alias("blk"), "doc_id", F.posexplode(F.split(rec, "\n")).alias("i", "line"))
-    rows = rows.select("file", "blk", F.struct("doc_id", "i").alias("ord"), "line")
+    rows = d.select(file.alias("file"), *line_place("doc_id"), "doc_id", F.posexplode(F.split(rec, "\n")).alias("i", "line"))
+    rows = rows.select("file", "split", "blk", F.struct("doc_id", "i").alias("ord"), "line")
     heads = d.groupBy("lang", "source").agg(F.first(head).alias("line")).select(
         F.concat(F.lit("bench_out_"), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".csv")).alias("file"),
-        F.lit(0).cast("long").alias("blk"),
+        F.lit(0).cast("long").alias("split"), F.lit(-1).cast("long").alias("blk"),
         F.struct(F.lit(-1).cast("long").alias("doc_id"), F.lit(0).alias("i")).alias("ord"), "line")
     return heads.unionByName(rows)
 
@@ -518,7 +524,7 @@ FROM vals"""
 @register("union_normalised", _UNION_SQL)
 def q_union_normalised(spark, sf):
     """P1-P5 + F5 + U1 over the document files."""
-    return au.union_normalised(document_files(spark, sf)).drop("blk", "ord")
+    return au.union_normalised(document_files(spark, sf)).drop("split", "blk", "ord")
 
 
 def _event_jsonl(spark, sf):
@@ -529,7 +535,7 @@ def _event_jsonl(spark, sf):
             .when(F.pmod("event_id", F.lit(10)) == 2, F.col("user_id").cast("string"))
             .otherwise(F.concat(F.lit('{"k": '), k, F.lit(', "Event Type": "'), F.col("event_type"), F.lit('"}'))))
     return e.select(F.concat(F.lit("events_"), F.col("event_type"), F.lit(".jsonl")).alias("file"),
-                    F.lit(0).cast("long").alias("blk"), F.col("event_id").alias("ord"), line.alias("line"))
+                    *line_place("event_id"), F.col("event_id").alias("ord"), line.alias("line"))
 
 
 @register("json_lines", r"""

@@ -8,6 +8,8 @@ file is its first line); JSON Lines are parsed strictly line by line.
 from __future__ import annotations
 
 import os
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +22,10 @@ JSONL_GLOB = "*.{jsonl,ndjson}"
 
 
 def relative_path(path_col, root: str):
-    """A file's path below ``root``."""
+    """A file's path below ``root``; the name of a file that is itself the root."""
     root = os.path.abspath(root).rstrip("/").lstrip("/")
-    return F.regexp_replace(path_col, r"^(file:)?/*" + root.replace(".", r"\.") + "/", "")
+    below = F.regexp_replace(path_col, r"^(file:)?/*" + re.escape(root) + "/", "")
+    return F.when(path_col.endswith("/" + root), F.element_at(F.split(path_col, "/"), -1)).otherwise(below)
 
 
 def _children_except(spark: SparkSession, root: str, exclude: str) -> list[str]:
@@ -34,44 +37,61 @@ def _children_except(spark: SparkSession, root: str, exclude: str) -> list[str]:
     return [st.getPath().toString() for st in fs.listStatus(path) if st.getPath().getName() != top]
 
 
-def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclude: str | None = None,
-               fallback_encoding: str | None = None) -> DataFrame:
-    """Every line of every matching file under ``root`` (recursive).
+#: Lines of a block of the line table, as a power of two.
+BLOCK_LINES = 13
+LINE_TABLE = "file string, split long, blk long, ord long, line string"
 
-    Returns (file relative to root, blk, ord, line).  ``exclude`` (a path
+
+def line_blocks(scanned: DataFrame) -> DataFrame:
+    """(file, split, line) with ``ord``, the order in which a task reads them, and ``blk``, its runs of 2**BLOCK_LINES lines."""
+    d = scanned.withColumn("ord", F.monotonically_increasing_id())
+    return d.withColumn("blk", F.shiftright(F.col("ord").bitwiseAND((1 << 33) - 1), BLOCK_LINES)).select("file", "split", "blk", "ord", "line")
+
+
+def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclude: str | None = None) -> DataFrame:
+    """Every line of every matching file under ``root`` (recursive), or of the file ``root``.
+
+    Returns the line table (file relative to root, split, blk, ord, line; see ``operators.records``).  Lines hold their bytes as they are: whether a file is
+    UTF-8, its bytes decide (``operators.audit.file_facts``, ``decode_lines``).  ``exclude`` (a path
     relative to root, e.g. the job's own output, Q11) is left out of the
-    listing itself, so its files are never opened.  With
-    ``fallback_encoding`` (e.g. ``iso-8859-1``, the original's latin-1), files that are not
-    valid UTF-8 (``is_valid_utf8`` fails on a line) are read again in that
-    encoding; only their names reach the driver.
+    listing itself, so its files are never opened.  A file that cannot be read gives the lines before the damage; ``list_files`` and the audit tell of it.
     """
     paths = _children_except(spark, root, exclude) if exclude else [root]
     if not paths:
-        return spark.createDataFrame([], "file string, blk long, ord long, line string")
+        return spark.createDataFrame([], LINE_TABLE)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true")
+    return line_blocks(reader.text(paths).select(relative_path(F.col("_metadata.file_path"), root).alias("file"),
+                                                 F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line")))
+
+
+def list_files(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclude: str | None = None) -> DataFrame:
+    """(file relative to root, length) of every matching file, empty and unreadable ones too; no content is read."""
+    paths = _children_except(spark, root, exclude) if exclude else [root]
+    if not paths:
+        return spark.createDataFrame([], "file string, length long")
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
-    df = (reader.text(paths)
-          .select(relative_path(F.col("_metadata.file_path"), root).alias("file"),
-                  F.col("_metadata.file_path").alias("_path"),
-                  F.col("_metadata.file_block_start").alias("blk"),
-                  F.monotonically_increasing_id().alias("ord"), F.col("value").alias("line")))
-    if not fallback_encoding:
-        return df.drop("_path")
-    bad = [r[0] for r in df.where(~F.is_valid_utf8("line")).select("_path").distinct().collect()]
-    if not bad:
-        return df.drop("_path")
-    # one column per line: a separator and quote that never occur, the file's encoding
-    redo = (spark.read.option("encoding", fallback_encoding).option("sep", "\u0001").option("quote", "\u0000")
-            .option("header", "false").schema("line string").csv(bad)
-            .select(relative_path(F.col("_metadata.file_path"), root).alias("file"),
-                    F.col("_metadata.file_block_start").alias("blk"),
-                    F.monotonically_increasing_id().alias("ord"), F.coalesce("line", F.lit("")).alias("line")))
-    return df.where(~F.col("_path").isin(bad)).drop("_path").unionByName(redo)
+    # the scan leaves files of no byte out, the index that Spark makes of the folder names them
+    named = spark.createDataFrame([(unquote(f),) for f in reader.text(paths).inputFiles()], "path string")
+    files = reader.format("binaryFile").load(paths).select(relative_path(F.col("path"), root).alias("file"), "length")
+    return named.select(relative_path(F.col("path"), root).alias("file")).join(files, "file", "left").select("file", F.coalesce("length", F.lit(0)).alias("length"))
+
+
+def decode_lines(lines: DataFrame, fallback_encoding: str = "cp1252") -> DataFrame:
+    """The line table with each line as text, and ``utf8``, whether all bytes of its file are UTF-8.
+
+    One pass over the bytes gives a verdict for each file (a small table, written); it is joined back, and the lines of files that are not UTF-8 are
+    decoded byte by byte.  No path goes through the driver, and no file is read by two readers.
+    """
+    from ..operators.audit import decoded
+    from ..operators.partitioning import materialize
+    verdict = materialize(lines.groupBy("file").agg(F.min(F.is_valid_utf8("line")).alias("utf8")))
+    return lines.join(verdict, "file").withColumn("line", decoded("line", F.col("utf8"), fallback_encoding))
 
 
 def scan_json_lines(spark: SparkSession, root: str, glob: str = JSONL_GLOB) -> DataFrame:
     """JSON Lines; blank and corrupt lines skipped, scalars wrapped as ``value``.
 
-    Returns (file, blk, ord, fields map<string,string>) with normalised keys.
+    Returns (file, split, blk, ord, fields map<string,string>) with normalised keys.
     """
     lines = scan_lines(spark, root, glob)
     return json_records(lines)
@@ -83,14 +103,14 @@ def json_records(lines: DataFrame) -> DataFrame:
     obj = F.from_json(F.to_json(v), "map<string,string>")
     scalar = F.create_map(F.lit("value"), F.try_variant_get(v, "$", "string"))
     m = F.when(is_obj, obj).otherwise(scalar)
-    d = lines.where((F.trim("line") != "") & v.isNotNull()).select("file", "blk", "ord", m.alias("_m"))
-    return d.select("file", "blk", "ord", F.transform_keys("_m", lambda k, _: norm_col_expr(k)).alias("fields"))
+    d = lines.where((F.trim("line") != "") & v.isNotNull()).select("file", "split", "blk", "ord", m.alias("_m"))
+    return d.select("file", "split", "blk", "ord", F.transform_keys("_m", lambda k, _: norm_col_expr(k)).alias("fields"))
 
 
 def json_union(recs: DataFrame, provenance: str = "source_file") -> DataFrame:
     """U1 over JSON records: columns in first-seen order (file, line), all strings."""
-    keys = (recs.select("file", "blk", "ord", F.posexplode(F.map_keys("fields")).alias("_p", "k"))
-            .groupBy("k").agg(F.min(F.struct("file", "blk", "ord", "_p")).alias("_first"))
+    keys = (recs.select("file", "split", "blk", "ord", F.posexplode(F.map_keys("fields")).alias("_p", "k"))
+            .groupBy("k").agg(F.min(F.struct("file", "split", "blk", "ord", "_p")).alias("_first"))
             .orderBy("_first").select("k").collect())            # distinct column names only
     names = [r["k"] for r in keys]
     return recs.select(*[F.try_element_at("fields", F.lit(n)).alias(n) for n in names],
@@ -98,33 +118,46 @@ def json_union(recs: DataFrame, provenance: str = "source_file") -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, root: str, lang: str | None = None) -> DataFrame:
-    """One document per file: (doc_id = file name, file_name, lang, text)."""
+    """One document per file: (doc_id = path below root, file_name, lang, text)."""
     df = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(root)
-    return df.select(F.col("_metadata.file_name").alias("doc_id"), F.col("_metadata.file_name").alias("file_name"),
+    return df.select(relative_path(F.col("_metadata.file_path"), root).alias("doc_id"), F.col("_metadata.file_name").alias("file_name"),
                      F.lit(lang).cast("string").alias("lang"), F.col("value").alias("text"))
 
 
-def read_gold(spark: SparkSession, path: str, encoding: str = "UTF-8", sep: str | None = None) -> DataFrame:
+def read_delimited(lines: DataFrame, sep: str | None = None, fallback_encoding: str | None = "cp1252", required: set[str] = frozenset(),
+                   normalise: bool = True) -> DataFrame:
+    """Records of a line table as columns, named by the header of the first file by path, all strings; S2, S9 and S12 are this with their own names and types.
+
+    Splittable, quoted fields over several lines included.  Columns are matched by name, what a file lacks is null, as is what a short record lacks; blank
+    lines are no records.  ``sep``: the delimiter, else by the header; ``required``: raises if names are missing (F6).  With ``normalise`` False
+    names are only trimmed.
+    """
+    from ..operators.audit import file_facts, header_names, records, split_fields
+    facts = file_facts(lines, fallback_encoding, sep, normalise)
+    names, widest = header_names(facts)
+    if missing := set(required) - set(names):
+        raise ValueError(f"columns are missing: {sorted(missing)}")
+    rec = records(lines, facts, fallback_encoding).where(F.col("line") != "")
+    rec = rec.withColumn("_vals", split_fields(F.col("line"), F.col("delimiter"), widest))
+    rec = rec.withColumn("_m", F.map_from_arrays("names", F.slice("_vals", 1, F.size("names"))))
+    return rec.select(*[F.try_element_at("_m", F.lit(c)).alias(c) for c in names])
+
+
+def gold_set(table: DataFrame) -> DataFrame:
+    """(q_index10, question, gold_answer, language) of a gold table of strings; what it lacks is null."""
+    def column(name: str, kind: str):
+        return (F.col(name).try_cast(kind) if name in table.columns else F.lit(None).cast(kind)).alias(name)
+
+    return table.select(column("q_index10", "int"), "question", "gold_answer", column("language", "string"))
+
+
+def read_gold(spark: SparkSession, path: str, encoding: str = "cp1252", sep: str | None = None) -> DataFrame:
     """Gold set (q_index10, question, gold_answer, language).
 
-    Delimiter from the header when not given; BOM stripped from the first
-    name; required columns checked on the schema before any job (F6).
+    UTF-8, with a BOM or not, else ``encoding`` (cp1252 or iso-8859-1); delimiter from the header when not given;
+    required columns checked on the header before any record is read (F6).
     """
-    if sep is None:
-        from ..operators.audit import headers
-        h = headers(scan_lines(spark, os.path.dirname(path) or ".", os.path.basename(path)))
-        row = h.select("delimiter").first()
-        sep = row[0] if row else ","
-    df = spark.read.option("header", "true").option("sep", sep).option("encoding", encoding) \
-        .option("multiLine", "true").csv(path)
-    df = df.toDF(*[c.lstrip("﻿").strip().lower() for c in df.columns])
-    missing = {"question", "gold_answer"} - set(df.columns)
-    if missing:
-        raise ValueError(f"gold file lacks columns: {sorted(missing)}")
-    cols = [F.col("q_index10").try_cast("int").alias("q_index10") if "q_index10" in df.columns
-            else F.lit(None).cast("int").alias("q_index10"), "question", "gold_answer",
-            (F.col("language") if "language" in df.columns else F.lit(None).cast("string")).alias("language")]
-    return df.select(*cols)
+    return gold_set(read_delimited(scan_lines(spark, path, "*"), sep, encoding, {"question", "gold_answer"}))
 
 
 def scan_roots(spark: SparkSession, roots: list[str], glob: str = "*.csv") -> DataFrame:
@@ -160,12 +193,22 @@ def load_canonical(spark: SparkSession, schema_json: str | None = None, schema_c
     return None
 
 
+#: The typed columns of a run log; the others are strings.
+RUN_LOG_TYPES = {"q_index10": "int", "top_k": "int", "prompt_tokens": "long", "completion_tokens": "long", "total_tokens": "long"} | dict.fromkeys(
+    ["latency_total_ms", "latency_retrieval_ms", "latency_generation_ms", "tokens_per_sec", "gold_score_0_10", "factual_consistency_0_10",
+     "hallucination_rate_0_1", "groundedness_pred_0_1", "retrieval_support_gold_0_1"], "double")
+
+
+def typed(table: DataFrame, types: dict[str, str] = RUN_LOG_TYPES) -> DataFrame:
+    """The columns of a table of strings in their types; what is not a value of its type is null."""
+    return table.select(*[F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in table.columns])
+
+
 def read_run_log(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """A run-log CSV with a given separator and encoding, all strings.
+    """A run-log CSV with a given separator and encoding, all strings; ``typed`` gives its columns their types.
 
-    Types are applied later by ``score_pairs`` (bad numbers -> null), not
-    inferred, so one malformed cell never changes a column's type.
+    Types are never inferred, so one malformed cell does not change a column's type.  ``encoding``: UTF-8 (a BOM is dropped), or what a file that is not UTF-8 is read as
+    (cp1252 or iso-8859-1).
     """
-    df = (spark.read.option("header", "true").option("sep", sep).option("encoding", encoding)
-          .option("multiLine", "true").option("escape", '"').csv(path))
-    return df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    fallback = None if encoding.lower().replace("_", "-") in ("utf-8", "utf8", "utf-8-sig") else {"latin-1": "iso-8859-1", "latin1": "iso-8859-1"}.get(encoding.lower(), encoding.lower())
+    return read_delimited(scan_lines(spark, path, "*"), sep, fallback, normalise=False)

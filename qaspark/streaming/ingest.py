@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import file_audit, union_normalised
-from ..sources.files import relative_path
+from ..sources.files import line_blocks, relative_path
 
 
 def start_ingest(spark: SparkSession, input_dir: str, output_dir: str, checkpoint: str,
@@ -27,11 +27,11 @@ def start_ingest(spark: SparkSession, input_dir: str, output_dir: str, checkpoin
         raise ValueError("name the canonical columns: batches must share one schema")
     lines = (spark.readStream.format("text").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(input_dir)
-             .select(relative_path(F.col("_metadata.file_path"), input_dir).alias("file"), F.col("_metadata.file_block_start").alias("blk"),
+             .select(relative_path(F.col("_metadata.file_path"), input_dir).alias("file"), F.col("_metadata.file_block_start").alias("split"),
                      F.col("value").alias("line")))
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        b = batch.withColumn("ord", F.monotonically_increasing_id())
+        b = line_blocks(batch)
         if b.isEmpty():
             return
         table = union_normalised(b, canonical)

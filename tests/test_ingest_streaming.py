@@ -133,11 +133,8 @@ def test_bench_outputs_and_results(spark, tmp_path):
 
 
 def test_writers(spark, tmp_path):
-    from qaspark.sinks.writers import write_new, write_record_files, write_run_log
+    from qaspark.sinks.writers import write_new, write_run_log
     df = spark.createDataFrame([("s01e01.txt", "Título: x\n"), ("s01e02.txt", "Título: y\n")], "name string, doc string")
-    write_record_files(df, str(tmp_path / "docs"), "name", "doc")
-    back = spark.read.option("wholetext", "true").text(str(tmp_path / "docs")).where("value <> ''")
-    assert sorted(r["name"] for r in back.collect()) == ["s01e01.txt", "s01e02.txt"]
     write_run_log(df, str(tmp_path / "log"))
     with pytest.raises(ValueError):
         write_run_log(df.limit(0), str(tmp_path / "empty"))
