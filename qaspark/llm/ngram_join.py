@@ -27,6 +27,10 @@ from qaspark.session import Scratch, written
 
 #: Sets in a trie; larger groups are divided into blocks, and unresolved blocks meet in pairs.
 GROUP = 128
+#: Classes whose sizes and parities are compared in one place; larger groups are divided, and each two blocks meet.
+COMPARED = 512
+#: Possible pairs that a task hands on at a time.
+PAIRS = 200_000
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.random.default_rng(12).integers(1, 1 << 63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
@@ -119,9 +123,9 @@ def _folded(p: np.ndarray, words: int) -> np.ndarray:
     return p
 
 
-def possible_pairs(sizes: np.ndarray, parities: list[np.ndarray], groups: list[int], percent: int) -> list[tuple[int, int]]:
-    """Pairs from different groups that may link, by their sizes and parities; none that links is left out."""
-    out, same = [], np.array(groups)
+def possible_pairs(sizes: np.ndarray, parities: list[np.ndarray], groups: list[int], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each set those of other groups that it may link with, by sizes and parities; each pair once, none that links is left out."""
+    same = np.array(groups)
     words = np.array([len(p) for p in parities])
     for w in sorted(set(words.tolist())):
         # a set of few words against those of as many or more, folded to as many
@@ -132,8 +136,7 @@ def possible_pairs(sizes: np.ndarray, parities: list[np.ndarray], groups: list[i
             differ = np.bitwise_count(folded ^ parities[x]).sum(1, dtype=np.int64)
             ok = (100 * least >= percent * most) & ((100 + percent) * differ <= (100 - percent) * (least + most)) & (same[at] != same[x])
             ok &= (words[at] > w) | (at > x)
-            out += [(int(x), int(y)) for y in at[ok]]
-    return out
+            yield int(x), at[ok]
 
 
 class _Node:
@@ -257,6 +260,10 @@ def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
+def _arrays(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[i] for p in pairs])) for i in (0, 1)], ["a", "b"])
+
+
 def _grouped(rows: DataFrame, run) -> DataFrame:
     return rows.repartition("g", "block").sortWithinPartitions("g", "block", "id").mapInArrow(run, "a long, b long").where("a != b").distinct()
 
@@ -288,8 +295,16 @@ def _possible(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return list(zip(b.column(4).to_pylist(), b.column(5).to_pylist()))
 
         for ids_, components_, values in _by_group(batches, row):
-            pairs = possible_pairs(np.array([v[0] for v in values]), [np.frombuffer(v[1], np.uint64) for v in values], components_, percent)
-            yield _links([(ids_[i], ids_[j]) for i, j in pairs])
+            ids, pairs, n = np.array(ids_, np.int64), [], 0
+            for i, js in possible_pairs(np.array([v[0] for v in values]), [np.frombuffer(v[1], np.uint64) for v in values], components_, percent):
+                if len(js):
+                    pairs.append((np.full(len(js), ids[i]), ids[js]))
+                    n += len(js)
+                if n >= PAIRS:
+                    yield _arrays(pairs)
+                    pairs, n = [], 0
+            if pairs:
+                yield _arrays(pairs)
 
     return _grouped(groups.join(sizes, "id").select("g", "block", "id", "component", "n", "parity"), run)
 
@@ -301,7 +316,7 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
     reachable by links.  Null and empty texts and those without a word have the empty set and link with nothing, like rows with a null
     doc_id (their component_id is doc_id).  Rows that repeat a doc_id are joined by their own texts; each gets a row, an empty table none.  Other
     columns are not read.  Copies of any number are one class, found by a partial aggregate; signature groups are
-    counted and led by a minimum, never gathered; tries hold at most a few hundred sets.
+    counted and led by a minimum, never gathered; tries hold at most a few hundred sets, comparisons of sizes and parities twice COMPARED.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with Scratch(docs.sparkSession) as tables:
@@ -322,7 +337,7 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
         open_groups = (labelled.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"),
                                                 F.expr("bit_xor(xxhash64(id))").alias("h1"), F.expr("bit_xor(xxhash64(id, 1))").alias("h2"))
                        .where("least < most").groupBy("h1", "h2", "size").agg(F.min("g").alias("g")))
-        rest = labelled.join(open_groups.select("g", F.ceil(F.col("size") / F.lit(GROUP)).alias("blocks")), "g")
+        rest = labelled.join(open_groups.select("g", F.ceil(F.col("size") / F.lit(COMPARED)).alias("blocks")), "g")
         own = F.pmod(F.xxhash64("id"), "blocks")
         # a group of several blocks: each two blocks meet once, block x * blocks + y holds blocks x <= y
         pair = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
