@@ -9,7 +9,8 @@ Which classes meet is exact too.  Sets of sizes a and b link only if they differ
 of one part more than that, by ranges of the hash, one part at least is equal.  A class therefore writes one signature for
 each part, at the level of its own size and the next, and linked classes share a signature.  A part holds about ten
 shingles: a frequent word or shared passage alone does not bring documents together, as it would with single shingles as keys.
-Each class first meets the least class of its signatures.  Groups of signatures that then still hold several components are compared by
+Each class first meets the least class of its signatures.  The classes of signatures that then still hold several components meet by their rarest shingles
+(a prefix filter: nearly alike documents below the threshold differ in more than a prefix), are compared by
 sizes and by parities (a few bytes that bound the difference from below), and only pairs that these leave possible meet in tries again.
 """
 
@@ -286,6 +287,31 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int, k: int, tables: Scr
     return _grouped(rows, run)
 
 
+def _rare_shingles(docs: DataFrame, percent: int, k: int, tables: Scratch) -> DataFrame:
+    """(g, id): shingles of documents (doc_id, text), the rarest among these documents first, as many as one at least of which any two that link share.
+
+    A set of n elements has ceil(percent * n / 100) in common with any that it links with, so one at least of its n less so many, and one, first ones; the order is by number of
+    documents, then by hash.  What one document alone has comes first and leads nowhere: documents that differ in more than the threshold allows mostly have no more than that.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_chunks()
+        for b in batches:
+            ids, texts = b.column(0).to_numpy(), [t or "" for t in b.column(1).to_pylist()]
+            for x, y in in_groups([len(t) for t in texts]):
+                sets = shingle_sets(texts[x:y], k)
+                n = np.array([len(s) for s in sets])
+                own = np.array([np.add.reduce(_mix(s + _ODD[4])) for s in sets], np.uint64).view(np.int64)
+                columns = [np.repeat(c, n) for c in (ids[x:y], own, n)] + [np.concatenate(sets).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "own", "n", "h"])
+
+    each = tables.written(docs.select("doc_id", "text").mapInArrow(run, "id long, own long, n long, h long"), "join-shingles")
+    often = tables.written(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "join-often")
+    shared = each.join(broadcast_if_small(often), "h").groupBy("id", "own", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    most = (F.size("s") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    return shared.where(most > 0).select("id", F.explode(F.slice("s", F.lit(1), most)).alias("e")).select(F.col("e.h").alias("g"), "id").distinct()
+
+
 def _possible(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) in groups (g, block, id, component) that sizes and parities do not rule out; no text is moved for the others."""
     sizes = sets.where("n > 0").select(F.col("doc_id").alias("id"), "n", "parity")
@@ -332,11 +358,18 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
         links = tables.written(_verify(first, docs, percent, k, tables), "join-links")
         found = components(links)
 
-        # then all groups that still hold several components; groups with the same members are one
+        # then the classes of groups that still hold several components: those that link share one of their rarest shingles
+        def several(of: DataFrame) -> DataFrame:
+            sizes = F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size")
+            same = F.expr("bit_xor(xxhash64(id))").alias("h1"), F.expr("bit_xor(xxhash64(id, 1))").alias("h2")
+            return of.groupBy("g").agg(*sizes, *same).where("least < most")
+
         labelled = members.join(found, "id", "left").select("g", "id", F.coalesce("component_id", "id").alias("component"))
-        open_groups = (labelled.groupBy("g").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("size"),
-                                                F.expr("bit_xor(xxhash64(id))").alias("h1"), F.expr("bit_xor(xxhash64(id, 1))").alias("h2"))
-                       .where("least < most").groupBy("h1", "h2", "size").agg(F.min("g").alias("g")))
+        left = tables.written(labelled.join(several(labelled).select("g"), "g", "left_semi").select("id", "component").distinct(), "join-open")
+        rare = _rare_shingles(docs.join(broadcast_if_small(left.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi"), percent, k, tables)
+        labelled = tables.written(rare.join(broadcast_if_small(left), "id").select("g", "id", "component"), "join-rare")
+        # groups with the same members are one
+        open_groups = several(labelled).groupBy("h1", "h2", "size").agg(F.min("g").alias("g"))
         rest = labelled.join(open_groups.select("g", F.ceil(F.col("size") / F.lit(COMPARED)).alias("blocks")), "g")
         own = F.pmod(F.xxhash64("id"), "blocks")
         # a group of several blocks: each two blocks meet once, block x * blocks + y holds blocks x <= y

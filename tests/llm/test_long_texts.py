@@ -1,0 +1,61 @@
+"""Texts of over 100,000 characters, and inputs whose extra columns have the names of results."""
+
+import random
+
+import numpy as np
+import public_tokenizers
+from test_dedup_operators import shingles
+from test_text_operators import brute_figures
+from test_token_operators import BYTES, RANKS, library_ids, reference
+
+from qaspark.llm import byte_bpe, ngram_join, phrases, quality, token_files
+
+CLASHING = "doc_id long, text string, lang string, kept string, n_words string, component_id string, n_shingles int, ids string, start string, n_tokens int, phrase string, rank int"
+
+
+def long_texts():
+    rng = random.Random(12)
+    vocabulary = ["river", "stone", "été", "naïve", "Straße", "日本語", "x-1", "and,", "end.", "3,14", "'s", "I'll"] + [f"w{i}" for i in range(3000)]
+    words = [rng.choice(vocabulary) for _ in range(40_000)]
+    near = words[:]
+    near[20_000] = "changed"
+    return [" ".join(words), " ".join(near), "\n".join(" ".join(words[i : i + 12]) for i in range(0, 40_000, 12)), "a" * 120_000, "no spaces but marks." * 9_000, "short", "", None]
+
+
+def table(spark):
+    return spark.createDataFrame([(i, t, "en", "k", "w", "c", 1, "i", "s", 2, "p", 3) for i, t in enumerate(long_texts())], CLASHING).repartition(3)
+
+
+def test_quality_of_long_texts(spark):
+    rows = {r.doc_id: r for r in quality.clean_lines(table(spark), with_text=False).collect()}
+    for i, t in enumerate(long_texts()):
+        r = rows[i]
+        assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == brute_figures(t or "")
+        assert isinstance(r.kept, bool)
+
+
+def test_ngram_join_of_long_texts(spark):
+    rows = {r.doc_id: r for r in ngram_join.join(table(spark)).collect()}
+    sets = [shingles(t, 3) for t in long_texts()]
+    assert [rows[i].n_shingles for i in range(len(sets))] == [len(s) for s in sets]
+    assert 100 * len(sets[0] & sets[1]) >= 90 * len(sets[0] | sets[1])
+    assert [rows[i].component_id for i in range(len(sets))] == [0, 0, 0, 3, 4, 5, 6, 7]  # the third has the words of the first on other lines
+
+
+def test_tokens_of_long_texts(spark):
+    got = {r.doc_id: r for r in token_files.token_file_digests(spark, table(spark), BYTES).collect()}
+    at = 0
+    for i, t in enumerate(long_texts()):
+        want = library_ids(BYTES, t, 2)
+        assert (got[i].start, got[i].n_tokens) == (at, len(want))
+        at += len(want)
+    docs = byte_bpe.encode_documents(table(spark), RANKS, public_tokenizers.PATTERN)
+    for r in byte_bpe.decode_documents(docs, RANKS, public_tokenizers.PATTERN).collect():
+        t = long_texts()[r.doc_id] or ""
+        assert np.frombuffer(r.ids, "<u4").tolist() == reference(t) and bytes(r.decoded) == t.encode()
+
+
+def test_phrases_of_long_texts(spark):
+    got = phrases.collocations(table(spark), least=2)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert {r.n for r in got.collect()} == {sum(len(__import__("re").findall(r"[^\x20\x09.,;:!?\x0A-\x0D]+", t or "")) for t in long_texts())}

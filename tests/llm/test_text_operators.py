@@ -230,6 +230,17 @@ def test_pii_beside_other_numbers(spark):
     assert [r.text for r in sorted(rows, key=lambda r: r.doc_id)] == want
 
 
+def test_pii_in_hosts_and_texts_of_any_length(spark):
+    """A host of 20,000 labels, labels without an end, texts of 200,000 characters: found by loops of the pattern matcher, not by its stack."""
+    host = "ab." * 20_000 + "com"
+    texts = ["x@" + host, "x@" + "ab." * 20_000, "x@" + "1." * 20_000 + "com and y@b.com1", "a@b.com. c@d.e1.fr, q@-.co", "a@..com b@c", "@" * 50_000,
+             "word " * 40_000 + "4111 1111 1111 1111 " + "end " * 100, "9" * 100_000, "2024-05-17 " * 20_000]
+    rows = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), KEY).collect()}
+    assert [rows[i].n_replaced for i in range(len(texts))] == [1, 1, 2, 3, 0, 0, 1, 0, 20_000]
+    assert rows[0].text.endswith("@" + host) and rows[1].text.endswith("@" + "ab." * 20_000) and len({*rows[8].text.split()}) == 1
+    assert rows[3].text.split("@")[1].startswith("b.com. ") and rows[4].text == texts[4] and rows[6].text.startswith("word word") and "4111 1111 1111 1111" not in rows[6].text
+
+
 def test_pii_is_a_permutation(spark):
     days = [date(1999, 1, 1) + timedelta(i) for i in range(0, 1500)]
     forms = {"%Y-%m-%d": [], "%d.%m.%Y": [], "%m/%d/%Y": []}

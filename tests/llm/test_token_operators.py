@@ -52,6 +52,26 @@ def test_packing_has_each_id_once(spark):
     assert sum(r.length for r in whole) == sum(map(len, want.values())) and all(len(r.ids) == 4 * r.length for r in whole)
 
 
+def test_packing_of_documents_without_ids(spark):
+    """A table, a partition and a slice of empty documents alone: each is its end id."""
+    rows = [(i, t) for i, t in enumerate(["", None, " ", "\n\t "] * 300)]
+    for d in (spark.createDataFrame(rows[:3], "doc_id long, text string").coalesce(1), spark.createDataFrame(rows, "doc_id long, text string").repartition(2)):
+        got = packing.piece_digests(d, WORDS).collect()
+        assert {(r.start, r.length, r.doc_tokens, r.ids_crc32) for r in got} == {(0, 1, 1, crc([1]))} and len(got) == d.count()
+        assert sorted(r.offset for r in got) == list(range(len(got)))
+    mixed = spark.createDataFrame([*rows, (5000, "some words")], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.doc_tokens for r in packing.piece_digests(mixed, WORDS).collect()}[5000] == len(library_ids(WORDS, "some words", 1))
+
+
+@pytest.mark.parametrize("text", ["\"'sİ.", "İ", "aİ,b İstanbul.", "<|startoftext|> x <|endoftext|>", "long " * 60_000 + "İ", "x" * 150_000])
+def test_odd_and_long_texts_have_the_librarys_ids(spark, text):
+    d = spark.createDataFrame([(1, text), (2, "plain words, here.")], "doc_id long, text string")
+    ids = {}
+    for r in sorted(packing.pack(d, WORDS).collect(), key=lambda r: r.start):
+        ids.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert ids == {1: library_ids(WORDS, text, 1), 2: library_ids(WORDS, "plain words, here.", 1)}
+
+
 def test_packing_of_nothing(spark):
     assert packing.pack(table(spark).where("false"), WORDS).count() == 0
 
