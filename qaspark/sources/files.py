@@ -48,11 +48,12 @@ def line_blocks(scanned: DataFrame) -> DataFrame:
     return d.withColumn("blk", F.shiftright(F.col("ord").bitwiseAND((1 << 33) - 1), BLOCK_LINES)).select("file", "split", "blk", "ord", "line")
 
 
-def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclude: str | None = None) -> DataFrame:
+def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclude: str | None = None,
+               fallback_encoding: str | None = None) -> DataFrame:
     """Every line of every matching file under ``root`` (recursive), or of the file ``root``.
 
     Returns the line table (file relative to root, split, blk, ord, line; see ``operators.records``).  Lines hold their bytes as they are: whether a file is
-    UTF-8, its bytes decide (``operators.audit.file_facts``, ``decode_lines``).  ``exclude`` (a path
+    UTF-8, its bytes decide (``operators.audit.file_facts``, ``decode_lines``); with ``fallback_encoding`` lines are text, decoded so.  ``exclude`` (a path
     relative to root, e.g. the job's own output, Q11) is left out of the
     listing itself, so its files are never opened.  A file that cannot be read gives the lines before the damage; ``list_files`` and the audit tell of it.
     """
@@ -60,8 +61,9 @@ def scan_lines(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclu
     if not paths:
         return spark.createDataFrame([], LINE_TABLE)
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true")
-    return line_blocks(reader.text(paths).select(relative_path(F.col("_metadata.file_path"), root).alias("file"),
-                                                 F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line")))
+    lines = line_blocks(reader.text(paths).select(relative_path(F.col("_metadata.file_path"), root).alias("file"),
+                                                  F.col("_metadata.file_block_start").alias("split"), F.col("value").alias("line")))
+    return decode_lines(lines, fallback_encoding).drop("utf8") if fallback_encoding else lines
 
 
 def list_files(spark: SparkSession, root: str, glob: str = DELIMITED_GLOB, exclude: str | None = None) -> DataFrame:
