@@ -5,21 +5,28 @@
 
 A row has a file name and a text.  Each task writes its rows to files that are complete when they get their name, so that a task that is run again
 writes the same files again.  The commit writes ``_SUCCESS`` with the number of files; a job that fails leaves none.
+
+Tasks list what they write in short files of the folder ``<folder>.names`` beside it, whose names the commit writes to ``INDEX`` there.  Tasks read the
+records back by these lists: the folder is not listed, and no record's name passes through the driver.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import json
 import uuid
 from collections.abc import Iterator
-from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
 MARKER = "_SUCCESS"
+INDEX = "INDEX"
+#: Names of a list, and bytes that a reading task holds before it hands them on.
+LISTED, HELD = 2_000, 16_000_000
 
 
 def _store(path: str):
@@ -30,6 +37,7 @@ def _store(path: str):
 
 @dataclasses.dataclass
 class Written(WriterCommitMessage):
+    lists: list[str]
     files: int
 
 
@@ -44,10 +52,19 @@ class RecordFilesWriter(DataSourceWriter):
         elif there and files.get_file_info(f"{root}/{MARKER}").type != fs.FileType.NotFound:
             raise FileExistsError(f"{path} holds records")
         files.create_dir(root, recursive=True)
+        files.create_dir(f"{root}.names", recursive=True)
+        files.delete_dir_contents(f"{root}.names")
 
     def write(self, iterator: Iterator[Row]) -> Written:
         files, root = _store(self.path)
-        n = 0
+        lists, names, n = [], [], 0
+
+        def listed() -> None:
+            lists.append(uuid.uuid4().hex)
+            with files.open_output_stream(f"{root}.names/{lists[-1]}") as out:
+                out.write("\n".join(map(json.dumps, names)).encode("ascii"))
+            names.clear()
+
         for name, text in iterator:
             if not name or "/" in name or name.startswith(("_", ".")):
                 raise ValueError(f"not a file name: {name!r}")
@@ -56,10 +73,17 @@ class RecordFilesWriter(DataSourceWriter):
                 out.write((text or "").encode("utf-8"))
             files.move(unfinished, f"{root}/{name}")
             n += 1
-        return Written(n)
+            names.append(name)
+            if len(names) == LISTED:
+                listed()
+        if names:
+            listed()
+        return Written(lists, n)
 
     def commit(self, messages: list[Written | None]) -> None:
         files, root = _store(self.path)
+        with files.open_output_stream(f"{root}.names/{INDEX}") as out:
+            out.write("\n".join(x for m in messages if m for x in m.lists).encode("ascii"))
         with files.open_output_stream(f"{root}/{MARKER}") as out:
             out.write(b"%d\n" % sum(m.files for m in messages if m))
 
@@ -99,8 +123,28 @@ def read_record_files(spark: SparkSession, path: str) -> DataFrame:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MARKER}")
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         raise FileNotFoundError(f"{path} holds no complete set of records")
-    texts = spark.read.text(path, wholetext=True)
-    # the scan leaves files of no byte out, the index that Spark makes of the folder names them
-    named = spark.createDataFrame([(unquote(f).rsplit("/", 1)[1],) for f in texts.inputFiles()], "name string")
-    found = texts.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    return named.join(found, "name", "left").select("name", F.coalesce("text", F.lit("")).alias("text"))
+    files, root = _store(path)
+    with files.open_input_stream(f"{root}.names/{INDEX}") as index:
+        lists = index.read().decode("ascii").split()
+
+    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, root = _store(path)
+
+        def content(name: str) -> bytes:
+            with files.open_input_stream(name) as source:
+                return source.read()
+
+        for b in batches:
+            for one in b["list"]:
+                rows, held = [], 0
+                for name in map(json.loads, content(f"{root}.names/{one}").decode("ascii").split("\n")):
+                    rows.append((name, content(f"{root}/{name}").decode("utf-8")))
+                    held += len(rows[-1][1])
+                    if held > HELD:
+                        yield pd.DataFrame(rows, columns=["name", "text"])
+                        rows, held = [], 0
+                yield pd.DataFrame(rows, columns=["name", "text"])
+
+    chunks = spark.createDataFrame([(x,) for x in lists], "list string").repartition(max(1, min(len(lists), 8 * spark.sparkContext.defaultParallelism)))
+    return chunks.mapInPandas(texts, "name string, text string")
+

@@ -95,6 +95,29 @@ def test_one_file_for_each_record(spark, tmp_path):
         read_record_files(spark, str(tmp_path / "odd"))
 
 
+def test_record_files_are_read_by_their_lists(spark, tmp_path, monkeypatch):
+    """Names stay out of the driver: it reads one short name for each list of files."""
+    from qaspark.sinks import record_files
+    rows = [(f"r {i} ü.txt", f"text {i}\n") for i in range(2500)]
+    folder = str(tmp_path / "many")
+    write_record_files(spark.createDataFrame(rows, "name string, text string").repartition(1), folder, "name", "text")
+    lists = open(f"{folder}.names/{record_files.INDEX}").read().split()
+    assert len(lists) == 2 and sorted(os.listdir(f"{folder}.names")) == sorted([*lists, record_files.INDEX])
+    open(f"{folder}/left over.txt", "w").close()  # of a task that failed
+    assert sorted(map(tuple, read_record_files(spark, folder).collect())) == sorted(rows)
+    write_record_files(spark.createDataFrame([], "name string, text string"), folder, "name", "text")
+    assert read_record_files(spark, folder).collect() == []
+
+
+def test_embeddings_of_several_models_at_once():
+    texts = ["a b, c a", "", None, *(f"w{i} x{i % 7} Ü{i}" for i in range(600))]
+    got = inference.hash_embed_all(texts, ["e0", "m1"])
+    for t, vectors in zip(texts, got, strict=True):
+        for model, v in zip(["e0", "m1"], vectors, strict=True):
+            assert (v == inference.hash_embed_py(t, model).astype("float32")).all()
+    assert inference.hash_embed_all(texts[:2], []) == [[], []]
+
+
 def test_outputs_are_published_together(spark, tmp_path):
     store = Published(spark, str(tmp_path / "p"))
     with pytest.raises(FileNotFoundError):
