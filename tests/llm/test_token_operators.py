@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from qaspark.llm import byte_bpe, packing, token_files
+from qaspark.llm import byte_bpe, common, packing, token_files
 from qaspark.session import checkpoint_path
 
 WORDS, BYTES, RANKS = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
@@ -139,3 +140,31 @@ def test_byte_bpe_any_text(text):
     codec = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
     (ids,) = codec.encode(pa.array([text]))
     assert np.frombuffer(ids, "<u4").tolist() == reference(text) and codec.decode(ids) == text.encode()
+
+
+@pytest.mark.parametrize(("path", "cut", "separator"), [(WORDS, common.WORDS, " \x01 "), (BYTES, common.BYTE_LEVEL, "\n")])
+def test_words_of_letters_do_not_pass_the_pre_tokenizer(monkeypatch, path, cut, separator):
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    passed = []
+
+    class Watched:
+        normalizer, pre_tokenizer, model, encode = t.normalizer, t.pre_tokenizer, t.model, staticmethod(t.encode)
+        get_vocab_size = staticmethod(t.get_vocab_size)
+
+        @staticmethod
+        def encode_batch_fast(texts, **kw):
+            passed.extend(texts)
+            return t.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(common, "tokenizer", lambda _: Watched)
+    common.forget_chunks()
+    letters = "".join(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha())
+    texts = ["Words of letters únd ßœ only", letters, f"x {letters.lower()} X", "it's 5 o'clock Ÿ ĳ ×÷ tabs\there ﬁ", ""]
+    try:
+        got = common.library_encoder(path, cut, separator)(pa.array(texts, pa.string()))
+    finally:
+        common.forget_chunks()
+    encoder_type = common.id_type(path)
+    assert [np.frombuffer(x, encoder_type).tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert "clock" in "".join(passed) and "only" not in "".join(passed)
