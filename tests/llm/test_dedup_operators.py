@@ -6,10 +6,11 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from qaspark.llm import exact_dedup, line_dedup, ngram_join
 from qaspark.llm.common import components
-from qaspark.session import checkpoint_path
+from qaspark.session import Scratch, checkpoint_path
 
 
 def connected(nodes, links):
@@ -206,3 +207,33 @@ def test_line_dedup_template(spark, monkeypatch, block):
     label = connected(range(len(keys)), line_links(keys))
     want = {i for i in label if label[i] != i}
     assert len(want) >= 300 and removed(spark, keys) == want
+
+
+@pytest.mark.parametrize("met", [1024, 16])
+def test_line_dedup_possible_pairs_below_threshold(spark, monkeypatch, met):
+    """Of long lines of one template, just below the threshold to each other, parities leave hardly any pair, and every similar one."""
+    monkeypatch.setattr(line_dedup, "MET", met, raising=False)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3000)]
+    common, keys = rng.choices(words, k=62), []
+    for _ in range(40):
+        own = rng.choices(words, k=10)
+        keys.append(" ".join(common + own))
+    keys += [k + " more" for k in keys[:5]]
+    texts = spark.createDataFrame(list(enumerate(keys)), "id long, key string")
+    groups = texts.selectExpr("1L as g", "id", "id as component", f"{len(keys)}L as size")
+    with Scratch(spark) as tables:
+        got = {(r.a, r.b) for r in line_dedup._possible(groups, line_dedup._measured(texts), tables).collect()}
+    want = set(line_links(keys))
+    assert len(want) >= 5 and want <= got and len(got) < 2 * len(want)
+
+
+def test_line_dedup_windows(spark):
+    """The windows' hashes are those of all shingles of a line, short ones and whole pieces too."""
+    rng = random.Random(4)
+    keys = ["".join(rng.choices("abc éก", k=k)) for k in [*range(1, 40), *range(60, 90), 127, 128, 129, 135, 136, 400]]
+    lines = spark.createDataFrame([(k,) for k in keys], "key string")
+    flat = line_dedup.shingle_hashes(lines).select("id", F.explode(F.array(*[f"h{i}" for i in range(line_dedup.WINDOW)])).alias("h"))
+    got = {r.id: set(r.h) for r in flat.groupBy("id").agg(F.collect_set("h").alias("h")).collect()}
+    want = lines.select(F.xxhash64("key").alias("id"), F.transform(line_dedup.shingle_set(F.col("key")), lambda x: F.hash(x)).alias("h"))
+    assert got == {r.id: set(r.h) for r in want.collect()}
