@@ -28,7 +28,7 @@ from qaspark.session import Scratch, written
 #: Sets in a trie; larger groups are divided into blocks, and unresolved blocks meet in pairs.
 GROUP = 128
 #: Classes whose sizes and parities are compared in one place; larger groups are divided, and each two blocks meet.
-COMPARED = 512
+COMPARED = 2048
 #: Possible pairs that a task hands on at a time.
 PAIRS = 200_000
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
