@@ -7,8 +7,8 @@ the probe or of the subtree's sets cannot reach the threshold.
 
 Which classes meet is exact too.  Sets of sizes a and b link only if they differ in at most (a + b) * (100 - p) / (100 + p) elements, so
 of one part more than that, by ranges of the hash, one part at least is equal.  A class therefore writes one signature for
-each part, at the level of its own size and the next, and linked classes share a signature.  A part holds about ten
-shingles: a frequent word or shared passage alone does not bring documents together, as it would with single shingles as keys.
+each part, at the level of its own size and the next, and linked classes share a signature.  There are somewhat more parts than that, so that
+empty ones, which unrelated sets have alike, need none.  A part holds several shingles (about nine at 90 %, four at 80 %): a frequent word or shared passage alone does not bring documents together, as it would with single shingles as keys.
 Each class first meets the least class of its signatures.  Groups of signatures that then still hold several components are compared by
 sizes and by parities (a few bytes that bound the difference from below), and only pairs that these leave possible meet in tries again.
 """
@@ -29,6 +29,8 @@ from qaspark.session import Scratch, written
 GROUP = 128
 #: Classes whose sizes and parities are compared in one place; larger groups are divided, and each two blocks meet.
 COMPARED = 2048
+#: Elements that a part of a set holds at least, on average, where parts are more than must be for the sake of empty ones.
+PART = 2
 #: Possible pairs that a task hands on at a time.
 PAIRS = 200_000
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,7 +86,7 @@ class Levels:
     """Size classes so wide that linked sets are in the same or in neighbouring ones."""
 
     def __init__(self, percent: int):
-        self.percent, self.begins = percent, [1]
+        self.percent, self.begins, self.cut = percent, [1], []
 
     def of(self, n: int) -> int:
         while self.begins[-1] <= n:
@@ -97,14 +99,34 @@ class Levels:
             self.begins.append(100 * self.begins[-1] // self.percent + 1)
         return 2 * (self.begins[level + 1] - 1) * (100 - self.percent) // (100 + self.percent) + 1
 
+    def cuts(self, level: int) -> int:
+        """Parts of a set at this level: of the smallest sets there, seldom one has fewer than ``parts`` that are not empty."""
+        while len(self.cut) <= level:
+            x, need = len(self.cut), self.parts(len(self.cut))
+            n, m = self.begins[max(0, x - 1)], need
+            while m < n / PART:
+                one, two = (1 - 1 / m) ** n, (1 - 2 / m) ** n if m > 1 else 0.0
+                spread = max(0.0, m * (m - 1) * two + m * one - (m * one) ** 2) ** 0.5
+                if m * (1 - one) - 3 * spread >= need:
+                    break
+                m += max(1, m // 64)
+            self.cut.append(m)
+        return self.cut[level]
+
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Signatures of a sorted set, at its own level and the next."""
+        """Signatures of a sorted set, at its own level and the next.
+
+        Of the parts, as many as are left when the differing ones are taken away are equal in linked sets.  So where more parts have elements than
+        can differ, one of these is equal, and the empty parts, which sets that share nothing have alike, need no signature.
+        """
         out, level = [], self.of(len(s))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(s + _ODD[6]))])
         for x in (level, level + 1):
-            m = self.parts(x)
+            m = self.cuts(x)
             cut = np.searchsorted(s >> np.uint64(32), np.ceil(np.arange(m + 1) * (2.0**32 / m)).astype(np.uint64))
-            out.append(_mix(total[cut[1:]] - total[cut[:-1]] + _mix(np.arange(m, dtype=np.uint64) + np.uint64(x << 32) + _ODD[7])))
+            own = np.flatnonzero(cut[1:] > cut[:-1])
+            own = own if len(own) >= self.parts(x) else np.arange(m)
+            out.append(_mix(total[cut[own + 1]] - total[cut[own]] + _mix(own.astype(np.uint64) + np.uint64(x << 32) + _ODD[7])))
         return np.concatenate(out)
 
 
@@ -325,7 +347,7 @@ def join(docs: DataFrame, percent: int = 90, k: int = 3) -> DataFrame:
         reps = sets.join(broadcast_if_small(classes), (sets.doc_id == classes.rep) & (sets.d1 == classes.d1) & (sets.d2 == classes.d2), "left_semi")
         postings = reps.select(F.col("doc_id").alias("id"), F.explode("signatures").alias("g")).repartition("g")  # one shuffle for the count and the join
         shared = postings.groupBy("g").agg(F.count("*").alias("size"), F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("g", "lead")
-        members = tables.written(postings.join(shared, "g").select("g", "lead", "id").distinct(), "join-members")
+        members = tables.written(postings.join(shared.hint("shuffle_hash"), "g").select("g", "lead", "id").distinct(), "join-members")
 
         # first every class meets the least class that it shares a signature with
         first = tables.written(members.where("id != lead").groupBy("id").agg(F.min("lead").alias("g")), "join-first")

@@ -1,5 +1,6 @@
 """Exact dedup, line dedup and the n-gram join against brute force."""
 
+import collections
 import hashlib
 import random
 import re
@@ -108,6 +109,41 @@ def test_ngram_join_odd_rows(spark):
     assert ngram_join.join(docs.where("false")).count() == 0
 
 
+def shared_signatures(sets, percent):
+    levels, seen = ngram_join.Levels(percent), collections.Counter()
+    for s in sets:
+        seen.update(set(levels.signatures(s).tolist()))
+    return sum(n * (n - 1) // 2 for n in seen.values())
+
+
+def test_ngram_join_unrelated_sets_do_not_meet():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 64, n, np.uint64)) for n in rng.integers(60, 300, 1500)]
+    assert shared_signatures(sets, 80) < 1500  # 36,897 when empty parts had signatures
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_ngram_join_linked_sets_share_a_signature(percent):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 60), 100, 250, 700]:
+        for crowded in (False, True):  # True: all elements in a few parts, so that most are empty
+            a = np.unique(rng.integers(0, 1 << (60 if crowded else 64), n, np.uint64))
+            for less in range(len(a) * (100 - percent) // 100 + 1):  # elements that are taken away, one of each part first
+                own = np.unique(a >> np.uint64(58), return_index=True)[1][:less]
+                left = np.delete(a, own)
+                left = left[less - len(own):]
+                assert 100 * len(left) >= percent * len(a)
+                assert shared_signatures([a, left], percent)
+                new = rng.integers(0, 1 << 64, less // 2, np.uint64)
+                other = np.unique(np.concatenate([np.delete(a, own[: less - less // 2]), new]))
+                if 100 * len(np.intersect1d(a, other)) >= percent * len(np.union1d(a, other)):
+                    assert shared_signatures([a, other], percent)
+
+
 def test_trie_finds_all_links_of_a_chain():
     import numpy as np
 
