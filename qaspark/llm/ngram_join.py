@@ -31,6 +31,8 @@ GROUP = 128
 COMPARED = 2048
 #: Elements that a part of a set holds at least, on average, where parts are more than must be for the sake of empty ones.
 PART = 2
+#: Documents whose sets a task holds at a time.
+SLICE = 500
 #: Possible pairs that a task hands on at a time.
 PAIRS = 200_000
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,7 +55,7 @@ def shingle_sets(texts: list[str], k: int = 3) -> list[np.ndarray]:
     """
     out: list[np.ndarray] = []
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    for a, b in in_groups([len(r) for r in raw], 2_000_000):
+    for a, b in in_groups([len(r) for r in raw], 500_000):
         buffer = np.frombuffer(b" ".join([*raw[a:b], b""]), np.uint8)
         bounds = np.cumsum([0, *(len(r) + 1 for r in raw[a:b])])
         space = _SPACE[buffer]
@@ -247,7 +249,7 @@ def _sets(docs: DataFrame, percent: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_chunks()
         levels = Levels(percent)
-        for b in batches:
+        for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             sets = shingle_sets([t or "" for t in b.column(1).to_pylist()], k)
             d = np.array([[np.add.reduce(_mix(s + _ODD[4])), np.add.reduce(_mix(s + _ODD[5]))] for s in sets], np.uint64).reshape(-1, 2)
             signatures = pa.array([levels.signatures(s).view(np.int64) if len(s) else [] for s in sets], pa.list_(pa.int64()))

@@ -144,6 +144,17 @@ def test_ngram_join_linked_sets_share_a_signature(percent):
                     assert shared_signatures([a, other], percent)
 
 
+def test_ngram_join_holds_few_sets_at_a_time():
+    import types
+
+    import pyarrow as pa
+
+    run = ngram_join._sets(types.SimpleNamespace(mapInArrow=lambda f, schema: f), 80, 5)
+    rows = pa.RecordBatch.from_arrays([pa.array(range(1300), pa.int64()), pa.array([f"a b c d e f g{i}" for i in range(1300)])], ["doc_id", "text"])
+    out = list(run(iter([rows])))
+    assert max(b.num_rows for b in out) <= 500 and [i for b in out for i in b.column(0).to_pylist()] == list(range(1300))
+
+
 def test_trie_finds_all_links_of_a_chain():
     import numpy as np
 
@@ -264,6 +275,21 @@ def test_line_dedup_possible_pairs_below_threshold(spark, monkeypatch, met):
     assert len(want) >= 5 and want <= got and len(got) < 2 * len(want)
 
 
+def test_line_dedup_compares_no_pair_twice(spark, monkeypatch):
+    """Rows of open groups are short, and a pair that was compared is not compared again."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(3000)]
+    common = rng.choices(words, k=18)
+    keys = [" ".join(common + rng.choices(words, k=5)) for _ in range(150)]
+    keys += [k + " more" for k in keys[:20]]
+    compared, widths, alike, write = [], [], line_dedup._alike, Scratch.written
+    monkeypatch.setattr(line_dedup, "_alike", lambda pairs, texts: compared.extend((r.a, r.b) for r in pairs.collect()) or alike(pairs, texts))
+    monkeypatch.setattr(Scratch, "written", lambda self, df, name: (name == "line-rest" and widths.append(len(df.columns))) or write(self, df, name))
+    label = connected(range(len(keys)), line_links(keys))
+    assert removed(spark, keys) == {i for i in label if label[i] != i}
+    assert len(compared) == len(set(compared)) > 100 and widths and max(widths) < 20
+
+
 def test_line_dedup_windows(spark):
     """The windows' hashes are those of all shingles of a line, short ones and whole pieces too."""
     rng = random.Random(4)
