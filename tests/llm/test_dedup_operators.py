@@ -144,6 +144,18 @@ def test_ngram_join_linked_sets_share_a_signature(percent):
                     assert shared_signatures([a, other], percent)
 
 
+def test_near_copies_go_without_a_shuffle_of_texts(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(60)]
+    a, b, c = " ".join(words), " ".join(words + ["x"]), " ".join(reversed(words))
+    rows = [(1, a), (2, b), (3, c), (3, a), (4, a), (5, None), (None, a), (None, None), (6, ""), (2, c), (7, c)]
+    out = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id int, text string"), "")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([r for r in rows if r[0] in (1, 5, 6, None)], key=str)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_ngram_join_holds_few_sets_at_a_time():
     import types
 
